@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry",)
+MODULES = ("geometry", "selection")
 
 
 def load_all():
