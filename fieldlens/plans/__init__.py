@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry", "selection")
+MODULES = ("geometry", "selection", "matching")
 
 
 def load_all():
