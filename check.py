@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL check and compare rows, columns and values.
 
-Usage: python check.py [sf_dir] [name ...]
+Usage: python check.py [sf_dir] [part of a name, or a query module such as geometry ...]
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     registry = load_all()
-    names = [n for n in registry if not args or any(a in n for a in args)]
+    wanted = lambda n: any(a in n or registry[n].build.__module__.endswith(f".{a}_queries") for a in args)
+    names = [n for n in registry if not args or wanted(n)]
     spark = local_session()
     con = connect(sf_dir)
     failed = 0

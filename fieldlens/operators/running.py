@@ -76,6 +76,26 @@ def value_slices(df: DataFrame, column: str, n: int = 64) -> tuple[DataFrame, Co
     return with_bounds, F.size(F.filter("_bounds", lambda b: b < F.col(column).cast("double")))
 
 
+def split_slices(df: DataFrame, column: str, tie: str, source: DataFrame | None = None, n: int = 64) -> tuple[DataFrame, list[Column]]:
+    """Slices for the order (``column``, ``tie``) that also split a single value shared by very many rows.
+
+    A value held by more than one n-th of the rows is always one of the quantile bounds; rows exactly on a bound come
+    last in their slice and are cut further by ``tie``. ``source`` may name a cheaper table with the same distribution.
+    Returns the table with helper columns ``_bounds`` and ``_tie_bounds`` (drop them later) and the slice expressions.
+    """
+    fractions = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
+    quantiles = lambda c: F.array_distinct(F.percentile_approx(F.col(c).cast("double"), fractions, 1000))
+    bounds = (source or df).agg(F.struct(quantiles(column).alias("v"), quantiles(tie).alias("t")).alias("_b"))
+    ready = df.withColumn("_both", bounds.scalar()).select(
+        *df.columns, F.col("_both.v").alias("_bounds"), F.col("_both.t").alias("_tie_bounds")
+    )
+    below = lambda arr, c: F.size(F.filter(arr, lambda b: b < F.col(c).cast("double")))
+    on_bound = F.array_contains("_bounds", F.col(column).cast("double"))
+    return ready, [
+        below("_bounds", column), on_bound.cast("int"), F.when(on_bound, below("_tie_bounds", tie)).otherwise(F.lit(0)),
+    ]
+
+
 def cumulative_counts(df: DataFrame, group: Sequence[str], column: str, n: int = 64) -> DataFrame:
     """Distinct values of ``column`` per group with their count ``n`` and running count ``cum``, ascending."""
     counts = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))

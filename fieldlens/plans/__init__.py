@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry", "selection", "matching")
+MODULES = ("geometry", "selection", "matching", "evaluation")
 
 
 def load_all():
