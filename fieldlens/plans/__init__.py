@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry", "selection", "matching", "evaluation")
+MODULES = ("geometry", "selection", "matching", "evaluation", "quality")
 
 
 def load_all():
