@@ -64,42 +64,59 @@ def row_numbers(
     return running_sums(df, group, slices, order, {out: F.lit(1).cast("bigint")})
 
 
-def value_slices(df: DataFrame, column: str, n: int = 64) -> tuple[DataFrame, Column]:
-    """``df`` with a helper column of at most ``n`` quantile bounds, and the slice expression for ``column``.
+def slice_count(df: DataFrame) -> int:
+    """How many slices to cut: a few per shuffle partition, so that every task of a large cluster gets some."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(64, min(4096, 2 * partitions))
+
+
+def _quantiles(column: str, n: int) -> Column:
+    fractions = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
+    return F.array_distinct(F.percentile_approx(F.col(column).cast("double"), fractions, 10 * n))
+
+
+def _n_below(bounds: str, value: Column, stride: int = 64) -> Column:
+    """How many of the ascending ``bounds`` are below ``value``: a coarse step over every 64th, then a fine one."""
+    coarse = F.size(F.filter(bounds, lambda b, i: (i % stride == stride - 1) & (b < value))) * stride
+    return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(stride)), lambda b: b < value))
+
+
+def value_slices(df: DataFrame, column: str, source: DataFrame | None = None, n: int | None = None) -> tuple[DataFrame, Column]:
+    """``df`` with a helper column ``_bounds`` of quantiles, and the slice expression for ``column``.
 
     The bounds are one row computed by a mergeable sketch, so slices hold about equal shares of all rows whatever
     the distribution of the values. Equal values always share a slice, so callers first collapse equal values.
+    ``source`` may name a cheaper table with the same distribution.
     """
-    fractions = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
-    bounds = df.agg(F.array_distinct(F.percentile_approx(F.col(column).cast("double"), fractions, 1000)).alias("_b"))
+    n = n or slice_count(df)
+    bounds = (df if source is None else source).agg(_quantiles(column, n).alias("_b"))
     with_bounds = df.withColumn("_bounds", bounds.scalar())
-    return with_bounds, F.size(F.filter("_bounds", lambda b: b < F.col(column).cast("double")))
+    return with_bounds, _n_below("_bounds", F.col(column).cast("double"))
 
 
-def split_slices(df: DataFrame, column: str, tie: str, source: DataFrame | None = None, n: int = 64) -> tuple[DataFrame, list[Column]]:
+def split_slices(df: DataFrame, column: str, tie: str, source: DataFrame | None = None, n: int | None = None) -> tuple[DataFrame, list[Column]]:
     """Slices for the order (``column``, ``tie``) that also split a single value shared by very many rows.
 
     A value held by more than one n-th of the rows is always one of the quantile bounds; rows exactly on a bound come
-    last in their slice and are cut further by ``tie``. ``source`` may name a cheaper table with the same distribution.
-    Returns the table with helper columns ``_bounds`` and ``_tie_bounds`` (drop them later) and the slice expressions.
+    last in their slice and are cut further by ``tie``. Returns the table with helper columns ``_bounds`` and
+    ``_tie_bounds`` (drop them later) and the slice expressions.
     """
-    fractions = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
-    quantiles = lambda c: F.array_distinct(F.percentile_approx(F.col(c).cast("double"), fractions, 1000))
-    bounds = (source or df).agg(F.struct(quantiles(column).alias("v"), quantiles(tie).alias("t")).alias("_b"))
+    n = n or slice_count(df)
+    bounds = (df if source is None else source).agg(F.struct(_quantiles(column, n).alias("v"), _quantiles(tie, n).alias("t")).alias("_b"))
     ready = df.withColumn("_both", bounds.scalar()).select(
         *df.columns, F.col("_both.v").alias("_bounds"), F.col("_both.t").alias("_tie_bounds")
     )
-    below = lambda arr, c: F.size(F.filter(arr, lambda b: b < F.col(c).cast("double")))
-    on_bound = F.array_contains("_bounds", F.col(column).cast("double"))
+    value, tied = F.col(column).cast("double"), F.col(tie).cast("double")
+    on_bound = F.array_contains("_bounds", value)
     return ready, [
-        below("_bounds", column), on_bound.cast("int"), F.when(on_bound, below("_tie_bounds", tie)).otherwise(F.lit(0)),
+        _n_below("_bounds", value), on_bound.cast("int"), F.when(on_bound, _n_below("_tie_bounds", tied)).otherwise(F.lit(0)),
     ]
 
 
-def cumulative_counts(df: DataFrame, group: Sequence[str], column: str, n: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     """Distinct values of ``column`` per group with their count ``n`` and running count ``cum``, ascending."""
     counts = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
-    sliced, slice_of = value_slices(counts, column, n)
+    sliced, slice_of = value_slices(counts, column)
     return running_sums(sliced, group, [slice_of], [F.col(column)], {"cum": F.col("n")}).drop("_bounds")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("geometry", "selection", "matching", "evaluation", "quality")
+MODULES = ("geometry", "selection", "matching", "evaluation", "quality", "tracking", "dataset")
 
 
 def load_all():
