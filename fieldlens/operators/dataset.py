@@ -117,31 +117,38 @@ def augment_targets(
     pick = lambda lo, hi, salt: F.least((lo + F.floor(unit(salt) * (hi - lo + 1))).cast("int"), hi)
     c = F.col
     d = targets.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
-    d = d.withColumns({"flipped": unit("flip") < 0.5, "cropped": unit("branch") >= 0.5})
+    d = _settled(d, {"flipped": unit("flip") < 0.5, "cropped": unit("branch") >= 0.5})
     b = G.hflipped(Box.of(), c("width").cast("double"))
-    d = d.withColumns({n: F.when(c("flipped"), v).otherwise(c(n)) for n, v in zip(Box._fields, b)})
-    d = d.withColumn("orient", F.when(c("flipped"), G.moved_angle(c("orient"), hflip=True)).otherwise(c("orient")))
-    d = _resized(d, F.get(F.array(*[F.lit(s) for s in first_sizes]), F.floor(unit("first") * len(first_sizes)).cast("int")), None, c("cropped"))
+    flipped = {n: F.when(c("flipped"), v).otherwise(c(n)) for n, v in zip(Box._fields, b)}
+    d = _settled(d, {**flipped, "orient": F.when(c("flipped"), G.moved_angle(c("orient"), hflip=True)).otherwise(c("orient"))})
+    first = F.get(F.array(*[F.lit(s) for s in first_sizes]), F.floor(unit("first") * len(first_sizes)).cast("int"))
+    d = _resized(d, first, None, c("cropped"))
     lo, hi = crop_range
-    d = d.withColumns({"_cw": pick(F.least(F.lit(lo), c("width")), F.least(c("width"), F.lit(hi)), "cw"),
-                       "_ch": pick(F.least(F.lit(lo), c("height")), F.least(c("height"), F.lit(hi)), "ch")})
-    d = d.withColumns({"_left": pick(F.lit(0), c("width") - c("_cw"), "left"), "_top": pick(F.lit(0), c("height") - c("_ch"), "top")})
+    d = _settled(d, {"_cw": pick(F.least(F.lit(lo), c("width")), F.least(c("width"), F.lit(hi)), "cw"),
+                     "_ch": pick(F.least(F.lit(lo), c("height")), F.least(c("height"), F.lit(hi)), "ch")})
+    d = _settled(d, {"_left": pick(F.lit(0), c("width") - c("_cw"), "left"), "_top": pick(F.lit(0), c("height") - c("_ch"), "top")})
     cut = G.cropped(Box.of(), c("_left"), c("_top"), c("_cw"), c("_ch"))
-    d = d.withColumns({n: F.when(c("cropped"), v).otherwise(c(n)) for n, v in zip(Box._fields, cut)})
+    d = _settled(d, {n: F.when(c("cropped"), v).otherwise(c(n)) for n, v in zip(Box._fields, cut)})
     d = d.filter(G.is_proper(Box.of())).withColumns({
         "area": F.when(c("cropped"), G.area(Box.of())).otherwise(c("area")),
         "width": F.when(c("cropped"), c("_cw")).otherwise(c("width")), "height": F.when(c("cropped"), c("_ch")).otherwise(c("height")),
     })
     d = _resized(d, F.lit(size), max_size, F.lit(True))
-    return d.select(*[x for x in targets.columns], "epoch", "flipped", "cropped")
+    return d.select(*targets.columns, "epoch", "flipped", "cropped")
+
+
+def _settled(d: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Set columns behind a generator step: later expressions refer to the values instead of repeating their text."""
+    keep = [c for c in d.columns if c not in columns]
+    return d.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))))
 
 
 def _resized(d: DataFrame, size: Column, max_size: int | None, only: Column) -> DataFrame:
     """Resize image and boxes so the shorter side is ``size`` where ``only`` holds."""
     c = F.col
     w, h = G.resize_target(c("width"), c("height"), size, max_size)
-    d = d.withColumns({"_nw": F.when(only, w).otherwise(c("width")), "_nh": F.when(only, h).otherwise(c("height"))})
+    d = _settled(d, {"_nw": F.when(only, w).otherwise(c("width")), "_nh": F.when(only, h).otherwise(c("height"))})
     sx, sy = c("_nw") / c("width"), c("_nh") / c("height")
-    b = G.scaled(Box.of(), sx, sy)
-    d = d.withColumns({**dict(zip(Box._fields, b)), "area": c("area") * (sx * sy), "orient": G.moved_angle(c("orient"), sx, sy)})
+    moved = dict(zip(Box._fields, G.scaled(Box.of(), sx, sy)))
+    d = _settled(d, {**moved, "area": c("area") * (sx * sy), "orient": G.moved_angle(c("orient"), sx, sy)})
     return d.withColumns({"width": c("_nw"), "height": c("_nh")}).drop("_nw", "_nh")
