@@ -71,7 +71,7 @@ def number_annotations(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """Add ids from 1 in image order, by category inside an image, without sorting everything in one task."""
     ready, slice_of = value_slices(annotations, "image_id", source=images)
     numbered = row_numbers(ready, [], [slice_of], [F.col("image_id"), F.col("category_id")], "id")
-    return numbered.drop("_bounds")
+    return numbered.drop("_at")
 
 
 def parts_to_annotations(images: DataFrame, boxes: DataFrame, parts: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from fieldlens.functions import geometry as G
 from fieldlens.functions.geometry import Box
 from fieldlens.operators.decode import sigmoid
 from fieldlens.operators.matching import counting_truths, greedy_matches
-from fieldlens.operators.running import average_ranks, running_max, running_sums, split_slices, value_slices
+from fieldlens.operators.running import SLICE_COLUMNS, average_ranks, running_max, running_sums, split_slices, value_slices
 from fieldlens.schemas import IOU_THRESHOLDS, MAX_DETECTIONS, RECALL_POINTS
+from fieldlens.session import cut_lineage
 
 
 # ---- precision and recall ------------------------------------------------------------------------------------------
@@ -35,7 +36,7 @@ def cumulative_hits(matches: DataFrame, n_thresholds: int, source: DataFrame | N
         sums[f"ctp{i}"] = tp.cast("bigint")
         sums[f"cfp{i}"] = ((1 - tp) * (1 - ig)).cast("bigint")
     order = [F.col("_key"), F.col("_tie"), F.col("det_rank")]
-    return running_sums(ready, ["class_id", "area_range"], slices, order, sums).drop("_key", "_tie", "_bounds", "_tie_bounds")
+    return running_sums(ready, ["class_id", "area_range"], slices, order, sums).drop("_key", "_tie", *SLICE_COLUMNS)
 
 
 def pr_curve(matches: DataFrame, truth_counts: DataFrame, threshold_no: int = 0) -> DataFrame:
@@ -48,9 +49,7 @@ def pr_curve(matches: DataFrame, truth_counts: DataFrame, threshold_no: int = 0)
     )
     ready, slices = _score_slices(rows, None, ascending=True)
     order = [F.col("_key"), F.col("_tie"), -F.col("det_rank")]
-    return running_max(ready, ["class_id", "area_range"], slices, order, {"envelope": F.col("precision")}).drop(
-        "_key", "_tie", "_bounds", "_tie_bounds"
-    )
+    return running_max(ready, ["class_id", "area_range"], slices, order, {"envelope": F.col("precision")}).drop("_key", "_tie", *SLICE_COLUMNS)
 
 
 def _recall_point(recall: Column) -> Column:
@@ -150,8 +149,11 @@ def class_report(table: DataFrame, names: Column | None = None) -> DataFrame:
 def evaluate_detections(
     preds: DataFrame, truths: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, areas: Sequence[str] = ("all",), max_dets: int = 100
 ) -> tuple[DataFrame, DataFrame]:
-    """(precision table, recall table) of predictions against ground truths."""
-    matches = greedy_matches(preds, truths, thresholds, areas, max_dets)
+    """(precision table, recall table) of predictions against ground truths.
+
+    The match table feeds several aggregates, so it is computed once and kept in the shared checkpoint folder.
+    """
+    matches = cut_lineage(greedy_matches(preds, truths, thresholds, areas, max_dets))
     counts = counting_truths(truths, areas)
     return precision_table(matches, counts, thresholds, preds), recall_by_limit(matches, counts, len(thresholds))
 

@@ -75,14 +75,17 @@ def _quantiles(column: str, n: int) -> Column:
     return F.array_distinct(F.percentile_approx(F.col(column).cast("double"), fractions, 10 * n))
 
 
-def _n_below(bounds: str, value: Column, stride: int = 64) -> Column:
-    """How many of the ascending ``bounds`` are below ``value``: a coarse step over every 64th, then a fine one."""
-    coarse = F.size(F.filter(bounds, lambda b, i: (i % stride == stride - 1) & (b < value))) * stride
-    return coarse + F.size(F.filter(F.slice(bounds, coarse + 1, F.lit(stride)), lambda b: b < value))
+def _n_below(bounds: Column, value: Column, n: int) -> Column:
+    """How many of at most ``n`` ascending ``bounds`` are below ``value``, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
+SLICE_COLUMNS = ("_at", "_on_bound", "_tie_at")
 
 
 def value_slices(df: DataFrame, column: str, source: DataFrame | None = None, n: int | None = None) -> tuple[DataFrame, Column]:
-    """``df`` with a helper column ``_bounds`` of quantiles, and the slice expression for ``column``.
+    """``df`` with a helper column ``_at``, the slice of ``column`` between quantile bounds, and that column.
 
     The bounds are one row computed by a mergeable sketch, so slices hold about equal shares of all rows whatever
     the distribution of the values. Equal values always share a slice, so callers first collapse equal values.
@@ -91,33 +94,32 @@ def value_slices(df: DataFrame, column: str, source: DataFrame | None = None, n:
     n = n or slice_count(df)
     bounds = (df if source is None else source).agg(_quantiles(column, n).alias("_b"))
     with_bounds = df.withColumn("_bounds", bounds.scalar())
-    return with_bounds, _n_below("_bounds", F.col(column).cast("double"))
+    at = _n_below(F.col("_bounds"), F.col(column).cast("double"), n)
+    return with_bounds.select(*df.columns, at.alias("_at")), F.col("_at")
 
 
 def split_slices(df: DataFrame, column: str, tie: str, source: DataFrame | None = None, n: int | None = None) -> tuple[DataFrame, list[Column]]:
     """Slices for the order (``column``, ``tie``) that also split a single value shared by very many rows.
 
     A value held by more than one n-th of the rows is always one of the quantile bounds; rows exactly on a bound come
-    last in their slice and are cut further by ``tie``. Returns the table with helper columns ``_bounds`` and
-    ``_tie_bounds`` (drop them later) and the slice expressions.
+    last in their slice and are cut further by ``tie``. Returns the table with the helper columns ``SLICE_COLUMNS``
+    (drop them later) and the slice expressions.
     """
     n = n or slice_count(df)
     bounds = (df if source is None else source).agg(F.struct(_quantiles(column, n).alias("v"), _quantiles(tie, n).alias("t")).alias("_b"))
-    ready = df.withColumn("_both", bounds.scalar()).select(
-        *df.columns, F.col("_both.v").alias("_bounds"), F.col("_both.t").alias("_tie_bounds")
-    )
     value, tied = F.col(column).cast("double"), F.col(tie).cast("double")
-    on_bound = F.array_contains("_bounds", value)
-    return ready, [
-        _n_below("_bounds", value), on_bound.cast("int"), F.when(on_bound, _n_below("_tie_bounds", tied)).otherwise(F.lit(0)),
-    ]
+    placed = df.withColumn("_both", bounds.scalar()).withColumn("_at", _n_below(F.col("_both.v"), value, n))
+    on_bound = F.coalesce((F.get("_both.v", F.col("_at")) == value).cast("int"), F.lit(0))
+    marked = placed.withColumn("_on_bound", on_bound)
+    tie_at = F.when(F.col("_on_bound") == 1, _n_below(F.col("_both.t"), tied, n)).otherwise(F.lit(0))
+    return marked.select(*df.columns, "_at", "_on_bound", tie_at.alias("_tie_at")), [F.col(c) for c in SLICE_COLUMNS]
 
 
 def cumulative_counts(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     """Distinct values of ``column`` per group with their count ``n`` and running count ``cum``, ascending."""
     counts = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
     sliced, slice_of = value_slices(counts, column)
-    return running_sums(sliced, group, [slice_of], [F.col(column)], {"cum": F.col("n")}).drop("_bounds")
+    return running_sums(sliced, group, [slice_of], [F.col(column)], {"cum": F.col("n")}).drop("_at")
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -69,7 +69,7 @@ def _split(t: Tables) -> DataFrame:
 select case when i.image_id%5 < 4 then 'train' else 'test' end as split, count(distinct i.image_id) as n_images, count(det_id) as n_annotations,
  count(distinct case when det_id is not null then class_id end) as n_categories from images i left join detections d on d.image_id=i.image_id group by 1""")
 def dataset_summary(t: Tables) -> DataFrame:
-    return D.dataset_summary(_split(t), t.detections.select("image_id", C("class_id").alias("category_id")))
+    return D.dataset_summary(_split(t), t.boxes.select("image_id", C("class_id").alias("category_id")))
 
 
 _HALVES = """h as (select image_id, path, case when row_number() over (order by md5(concat(cast(image_id as varchar), ':7')), image_id) <= (select count(*) from images)//2 then 'valid' else 'test' end as split from images)"""

@@ -28,7 +28,7 @@ def _flags(t: Tables, n: int = 10) -> DataFrame:
 
 
 def _truth_counts(t: Tables) -> DataFrame:
-    return t.detections.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_truths")).withColumn("area_range", F.lit("all"))
+    return t.boxes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_truths")).withColumn("area_range", F.lit("all"))
 
 
 _RULE = """
@@ -49,14 +49,14 @@ grid as (select class_id, i, j, coalesce(max(prec) filter (rec >= j*0.01::double
 @query("A-17 W-06", _RULE + f"""
 select class_id, cast(i as int) as thr_no, {r6('avg(precision)')} as ap, {r6('max(precision)')} as best from grid group by 1, 2""")
 def average_precision(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
     return _round(table.groupBy("class_id", "thr_no").agg(F.avg("precision").alias("ap"), F.max("precision").alias("best")), "ap", "best")
 
 
 @query("A-17", _RULE + f"""
 select class_id, cast(j as int) as recall_no, {r6('precision')} as precision, {r6('score')} as score from grid where i = 3""")
 def precision_at_recall(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
     return _round(table.filter("thr_no = 3").select("class_id", "recall_no", "precision", "score"), "precision", "score")
 
 
@@ -69,7 +69,7 @@ select class, {r6('avg(precision)')} as ap, {r6('avg(precision) filter (i=0)')}
 union all select 'all', {r6('avg(precision)')}, {r6('avg(precision) filter (i=0)')}, {r6('avg(precision) filter (i=0 and j=bj)')},
   {r6('max(bj*0.01::double)')}, {r6('avg(score) filter (i=0 and j=bj)')} from r""")
 def class_report(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
     return _round(E.class_report(table, class_name(F.col("class_id"))), "ap", "ap50", "precision", "recall", "score_threshold")
 
 
@@ -172,7 +172,7 @@ with b as (select image_id, query_id, first(class_id order by logit desc, class_
 f as (select image_id, count(*) filter (c <> 3) as found from b group by 1), w as (select image_id, count(*) as wanted from detections group by 1)
 select {r6('avg(abs(found-coalesce(wanted,0)))')} as cardinality_error from f left join w using (image_id)""")
 def cardinality_error(t: Tables) -> DataFrame:
-    return _round(E.cardinality_error(_query_arrays(t), t.detections), "cardinality_error")
+    return _round(E.cardinality_error(_query_arrays(t), t.boxes), "cardinality_error")
 
 
 @query("A-28", f"""

@@ -136,7 +136,7 @@ def annotations_of_split(t: Tables) -> DataFrame:
 
 @query("J-09", "select image_id, path from images where image_id not in (select image_id from detections where confidence >= 0.5)")
 def images_without_detections(t: Tables) -> DataFrame:
-    seen = t.detections.filter("confidence >= 0.5").select("image_id")
+    seen = t.boxes.filter("confidence >= 0.5").select("image_id")
     return t.images.select("image_id", "path").join(seen, "image_id", "left_anti")
 
 

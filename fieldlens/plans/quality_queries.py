@@ -67,7 +67,7 @@ def quality_sweep(t: Tables) -> DataFrame:
 with {_RAW}, p as (select 0 as param_no, 0.02::double as tau, 0.7::double as alpha, 1.2::double as beta), {_PROB}
 select image_id, cast(gy*8+gx as int) as pos, {r6('pb')} as blur_probability, {r6('greatest(0.2, least(1, 1-alpha*pb))')} as blur_weight from pr""")
 def blur_grids(t: Tables) -> DataFrame:
-    s = Q.score_quality(_raw(t), [QualityParams()])
+    s = Q.scored_cells(_raw(t), QualityParams())
     both = s.select("image_id", F.posexplode(F.arrays_zip("blur_probability", "blur_weights")).alias("pos", "z"))
     return both.select("image_id", "pos", _r(C("z.blur_probability"), "blur_probability"), _r(C("z.blur_weights"), "blur_weight"))
 
@@ -112,7 +112,7 @@ def corpus_percentiles(t: Tables) -> DataFrame:
     from fieldlens.operators.running import order_statistics
 
     at = lambda p: F.round((C("size") - 1) * F.lit(p), 0).cast("bigint") + 1
-    return order_statistics(t.detections, ["class_id"], "confidence", {"p02": at(0.02), "p98": at(0.98)})
+    return order_statistics(t.boxes, ["class_id"], "confidence", {"p02": at(0.02), "p98": at(0.98)})
 
 
 # ---- regions of interest and triage --------------------------------------------------------------------------------

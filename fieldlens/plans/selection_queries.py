@@ -85,7 +85,7 @@ def confidence_above(t: Tables) -> DataFrame:
 select image_id, count(*) filter ({_NAME}='bird') as n_bird, count(*) filter ({_NAME}='head') as n_head,
   count(*) filter ({_NAME}='eye') as n_eye, count(*) filter ({_NAME}='beak') as n_beak from detections group by 1""")
 def detection_counts_wide(t: Tables) -> DataFrame:
-    return D.class_counts_wide(S.known_classes(t.detections), CLASS_NAMES)
+    return D.class_counts_wide(S.known_classes(t.boxes), CLASS_NAMES)
 
 
 @query("W-02", """
@@ -97,7 +97,7 @@ def best_per_class(t: Tables) -> DataFrame:
 
 @query("P-05", "select image_id, class_id, count(*) as n from detections where class_id in (0, 1) group by 1, 2")
 def display_classes(t: Tables) -> DataFrame:
-    shown = S.known_classes(t.detections).filter(F.col("class_name").isin("bird", "head"))
+    shown = S.known_classes(t.boxes).filter(F.col("class_name").isin("bird", "head"))
     return shown.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,7 +136,7 @@ def visible_group_parts(t: Tables) -> DataFrame:
 @query("P-09", """
 select image_id, path from images where image_id in (select image_id from detections where angle > 3) order by image_id limit 20""")
 def first_oriented_images(t: Tables) -> DataFrame:
-    oriented = t.detections.filter("angle > 3").select("image_id")
+    oriented = t.boxes.filter("angle > 3").select("image_id")
     return t.images.join(oriented, "image_id", "left_semi").select("image_id", "path").orderBy("image_id").limit(20)
 
 

@@ -66,6 +66,18 @@ select doc_id as image_id, cast(n_chars%101 as double) as pred, cast((n_chars*7+
 }
 
 
+_BOX_COLUMNS = (
+    "cast(case when l_returnflag='A' then 0 when l_returnflag='N' then 1 "
+    "when l_linestatus='O' then 2 else 3 end as int) as class_id",
+    "cast(60+(l_orderkey*13)%300+(l_partkey%41) as double) as x1",
+    "cast(40+(l_orderkey*7)%200+(l_suppkey%37) as double) as y1",
+    "cast(60+(l_orderkey*13)%300+(l_partkey%41)+30+2*l_quantity as double) as x2",
+    "cast(40+(l_orderkey*7)%200+(l_suppkey%37)+24+3*l_quantity as double) as y2",
+    "cast((l_partkey*31+l_suppkey*17+l_linenumber*7)%1000 as double)/1000 as confidence",
+    "cast(l_partkey%629 as double)/100-3.14D as angle",
+)
+
+
 class Tables:
     """The given tables and the logical tables over them, built on first use."""
 
@@ -96,18 +108,12 @@ class Tables:
             [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")],
             "det_id",
         )
-        return numbered.selectExpr(
-            "l_orderkey as image_id",
-            "cast(det_id as int) as det_id",
-            "cast(case when l_returnflag='A' then 0 when l_returnflag='N' then 1 "
-            "when l_linestatus='O' then 2 else 3 end as int) as class_id",
-            "cast(60+(l_orderkey*13)%300+(l_partkey%41) as double) as x1",
-            "cast(40+(l_orderkey*7)%200+(l_suppkey%37) as double) as y1",
-            "cast(60+(l_orderkey*13)%300+(l_partkey%41)+30+2*l_quantity as double) as x2",
-            "cast(40+(l_orderkey*7)%200+(l_suppkey%37)+24+3*l_quantity as double) as y2",
-            "cast((l_partkey*31+l_suppkey*17+l_linenumber*7)%1000 as double)/1000 as confidence",
-            "cast(l_partkey%629 as double)/100-3.14D as angle",
-        )
+        return numbered.selectExpr("l_orderkey as image_id", "cast(det_id as int) as det_id", *_BOX_COLUMNS)
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """The detections without their number, for queries that only count or join them."""
+        return self.raw("lineitem").selectExpr("l_orderkey as image_id", *_BOX_COLUMNS)
 
     @cached_property
     def candidate(self) -> DataFrame:

@@ -235,5 +235,5 @@ select source_type, class_name, count(*) as n, {r6('avg(confidence)')} as mean_c
  (select source_type, case class_id when 0 then 'bird' when 1 then 'head' when 2 then 'eye' else 'beak' end as class_name, confidence from detections join images using (image_id))
 group by cube (source_type, class_name)""")
 def provenance_rollup(t: Tables) -> DataFrame:
-    d = t.detections.join(t.images.select("image_id", "source_type"), "image_id").withColumn("class_name", class_name(C("class_id")))
+    d = t.boxes.join(t.images.select("image_id", "source_type"), "image_id").withColumn("class_name", class_name(C("class_id")))
     return _rounded(V.provenance_rollup(d), "mean_confidence")
