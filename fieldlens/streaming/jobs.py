@@ -19,11 +19,11 @@ MONITOR_OUT = "run_id string, epoch int, value double, best double, waited int,
 MONITOR_STATE = "best double, waited int, recent string, epoch int"
 
 
-def image_status(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
+def image_status(events: DataFrame, watermark: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """Latest status per path as updates; an event older than the one kept, or a repeat, changes nothing.
 
-    State is one small row per path and expires after ``idle_ms`` without events. The events of a path stream through
-    in Arrow batches; only the newest one is held.
+    State is one small row per path and goes away once the watermark is ``idle_ms`` past its last event; events later
+    than the watermark are dropped. The events of a path stream through in Arrow batches; only the newest is held.
     """
 
     def keep_newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,13 +37,15 @@ def image_status(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
             for kind, us, event_id in zip(batch.kind, stamps, batch.event_id):
                 if best is None or (us, event_id) > (best[1], best[2]):
                     best = (kind, int(us), int(event_id))
-        state.setTimeoutDuration(idle_ms)
-        if best is not None and best != old:
-            state.update(best)
+        if best is None:
+            return
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[1] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+        if best != old:
             yield pd.DataFrame({"path": [key[0]], "status": [best[0]], "event_id": [best[2]]})
 
-    return events.groupBy("path").applyInPandasWithState(
-        keep_newest, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", watermark).groupBy("path").applyInPandasWithState(
+        keep_newest, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_throughput(events: DataFrame, size: str, slide: str | None = None, watermark: str = "1 hour") -> DataFrame:

@@ -121,7 +121,7 @@ def test_crop_sharpness_edges():
     assert 0 <= s["detail"] <= 1 and s["ratio"] == s["core"] / (s["ring"] + 1e-6)
     assert K.crop_sharpness(gray, (5, 5, 5, 9), 96, 0.02, 0.6)["detail"] is None
     flat = K.crop_sharpness(np.ones((9, 9)), (0, 0, 9, 9), 96, 0.02, 0.6)
-    assert flat["core"] == flat["ring"] == 0
+    assert flat["core"] < 1e-20 and flat["ring"] < 1e-20
     k = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
     spot = np.zeros((9, 9)); spot[4, 4] = 1
     np.testing.assert_allclose(K.gaussian(spot, 1.0)[4, 2:7], k / k.sum() * (k / k.sum())[2])
