@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
 
-def detector_udf(make_predict: Callable, queries: int, classes: int, batch_size: int = 64):
-    """A model as a function of a flat pixel column.
+def detector_udf(make_predict: Callable, input_shape: list[int], batch_size: int = 64):
+    """A model as a function of an array column; ``input_shape`` is the shape of one input.
 
     ``make_predict()`` runs once per Python worker and returns ``predict(batch) -> {boxes, logits, orient}`` with
     arrays of shape (batch, queries * 4), (batch, queries * classes) and (batch, queries * 2).
+    A small ``batch_size`` keeps pixel batches inside the worker's memory.
     """
     floats = T.ArrayType(T.DoubleType())
     schema = T.StructType([T.StructField(n, floats) for n in ("boxes", "logits", "orient")])
-    return predict_batch_udf(make_predict, return_type=schema, batch_size=batch_size)
+    return predict_batch_udf(make_predict, return_type=schema, batch_size=batch_size, input_tensor_shapes=[input_shape])
 
 
 def raw_outputs(images: DataFrame, prediction: Column, queries: int, classes: int) -> DataFrame:

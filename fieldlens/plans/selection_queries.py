@@ -173,6 +173,30 @@ def finite_metrics(t: Tables) -> DataFrame:
     return log.join(bad, ["run_id", "epoch", "class"], "left_anti").groupBy("run_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("F-01 D-05")
+def model_detections(t: Tables) -> DataFrame:
+    """A user model run in batches over every image, then decoded. The stand-in model has fixed random weights."""
+    from fieldlens.functions import models as U
+
+    raw = U.raw_outputs(t.grids, U.detector_udf(U.linear_detector(6, 4, 64), [64])("cells"), 6, 4)
+    return D.decode_detections(raw, t.images, k=5, threshold=0.5).select("image_id", "det_id", "class_name", F.round("confidence", 4).alias("confidence"))
+
+
+@query("F-03 A-21", "select count(*) as total, count(*) filter (event_type <> 'error') as success, count(*) filter (event_type = 'error') as failed from events")
+def captured_failures(t: Tables) -> DataFrame:
+    """A function that fails on some rows: those rows stay, with the error text."""
+    from pyspark.sql import types as T
+
+    from fieldlens.functions import models as U
+
+    def checked(kind: str) -> int:
+        if kind == "error":
+            raise ValueError("cannot process")
+        return len(kind)
+
+    return U.failure_summary(U.apply_capturing_errors(t.raw("events").select("event_id", "event_type"), "event_type", checked, T.IntegerType()))
+
+
 # ---- catalog -------------------------------------------------------------------------------------------------------
 
 @query("S-02", "select image_id, path from images where lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('jpg','jpeg','png','webp','bmp','tiff','tif')")

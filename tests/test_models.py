@@ -11,7 +11,7 @@ from fieldlens.operators.decode import decode_detections
 def test_model_to_detections(spark, tables):
     make = U.linear_detector(queries=6, classes=4, n_pixels=64)
     images = tables.grids.select("image_id", "cells").limit(50)
-    raw = U.raw_outputs(images, U.detector_udf(make, 6, 4, batch_size=16)("cells"), 6, 4)
+    raw = U.raw_outputs(images, U.detector_udf(make, [64], batch_size=16)("cells"), 6, 4)
     rows = raw.orderBy("image_id", "query_id").collect()
     assert len(rows) == 300 and len(rows[0].box) == 4 and len(rows[0].logits) == 4 and len(rows[0].orient) == 2
     cells = {r.image_id: r.cells for r in images.collect()}
