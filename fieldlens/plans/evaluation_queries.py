@@ -46,7 +46,7 @@ grid as (select class_id, i, j, coalesce(max(prec) filter (rec >= j*0.01::double
 """
 
 
-@query("A-17 W-06", _RULE + f"""
+@query("A-17 W-06 F-04", _RULE + f"""
 select class_id, cast(i as int) as thr_no, {r6('avg(precision)')} as ap, {r6('max(precision)')} as best from grid group by 1, 2""")
 def average_precision(t: Tables) -> DataFrame:
     table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)

@@ -16,7 +16,7 @@ _IOU = """case when least(a.x2,b.x2)<greatest(a.x1,b.x1) or least(a.y2,b.y2)<gre
   ((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-(least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1))) end"""
 
 
-@query("J-02 F-02", f"""
+@query("J-02 F-02 T-08", f"""
 select d.image_id, d.det_id, {r6('g.q')} as quality from detections d left join (select image_id, avg(v) as q from grid_cells group by 1) g using (image_id)""")
 def detections_with_quality(t: Tables) -> DataFrame:
     """Detections keep their row when the image has no quality map."""

@@ -72,7 +72,7 @@ def blur_grids(t: Tables) -> DataFrame:
     return both.select("image_id", "pos", _r(C("z.blur_probability"), "blur_probability"), _r(C("z.blur_weights"), "blur_weight"))
 
 
-@query("A-05", f"""
+@query("A-05 F-04", f"""
 select image_id, cast((3*(gy+1)-1)//8 as int) as ty, cast((3*(gx+1)-1)//8 as int) as tx, {r6('avg(v*v)')} as energy from grid_cells group by 1, 2, 3""")
 def tile_means(t: Tables) -> DataFrame:
     tiled = t.grid_cells.groupBy("image_id", R.tile_of(C("gy"), 8, 3).alias("ty"), R.tile_of(C("gx"), 8, 3).alias("tx"))

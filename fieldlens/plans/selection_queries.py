@@ -199,7 +199,7 @@ def captured_failures(t: Tables) -> DataFrame:
 
 # ---- catalog -------------------------------------------------------------------------------------------------------
 
-@query("S-02", "select image_id, path from images where lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('jpg','jpeg','png','webp','bmp','tiff','tif')")
+@query("S-02 T-01", "select image_id, path from images where lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('jpg','jpeg','png','webp','bmp','tiff','tif')")
 def supported_images(t: Tables) -> DataFrame:
     return t.images.filter(text.is_supported(F.col("path"))).select("image_id", "path")
 

@@ -9,11 +9,12 @@ from fieldlens.functions import text
 from fieldlens.operators import compare as M
 from fieldlens.operators import events as V
 from fieldlens.operators import training as L
-from fieldlens.operators.selection import class_name
+from fieldlens.operators.selection import class_name, first_per_key
 from fieldlens.plans.matching_queries import _BEST
 from fieldlens.plans.registry import query, r6
 from fieldlens.plans.tables import Tables
 from fieldlens.sources import logs
+from fieldlens.streaming.jobs import stage_join
 
 C = F.col
 
@@ -113,7 +114,7 @@ def best_epochs(t: Tables) -> DataFrame:
     return L.best_epoch(log, ["series", "class"]).unionByName(overall)
 
 
-@query("W-07", f"""
+@query("W-07 T-07", f"""
 with w as (select series, run_no, ms, avg(ms) over t as a, max(ms) over t as m, list_sort(list(ms) over t) as l, sum(ms) over u as s, count(*) over u as n from timings
   window t as (partition by series order by run_no rows between 19 preceding and current row), u as (partition by series order by run_no rows unbounded preceding))
 select series, run_no, ms, {r6('a')} as avg, l[(len(l)-1)//2+1] as median, m as max, {r6('s/n + 1e-9')} as global_avg from w""")
@@ -131,7 +132,7 @@ def _tracked(t: Tables) -> DataFrame:
     return per_epoch.select("run_id", "epoch", L.tracked_metric().alias("value"))
 
 
-@query("W-08", f"""
+@query("W-08 T-07", f"""
 with recursive {_CUR}, f as (
  select run_id, cast(0 as bigint) as rn, cast(null as int) as epoch, cast(0 as double) as value, cast(0 as double) as best, cast(0 as bigint) as waited from (select distinct run_id from s)
  union all select s.run_id, s.rn, s.epoch, s.value, case when s.value > f.best + 0.002::double then s.value else f.best end, case when s.value > f.best + 0.002::double then 0 else f.waited+1 end
@@ -217,6 +218,22 @@ def run_sessions(t: Tables) -> DataFrame:
     return s.select("run_id", "session_no", "n_events", stamp("first_ts"), stamp("last_ts"))
 
 
+@query("T-06", "select path, event_id from (select *, row_number() over (partition by path order by ts, event_id) as rn from run_events) where rn = 1")
+def first_events(t: Tables) -> DataFrame:
+    """Batch form of the streaming dedupe: one event per path, the first."""
+    return first_per_key(t.run_events.select("path", "event_id", "ts"), ["path"], [C("ts"), C("event_id")]).select("path", "event_id")
+
+
+@query("T-09", """
+select q.run_id as image_id, q.event_id as quality_event, d.event_id as detection_event from run_events q join run_events d on q.run_id=d.run_id
+ and d.ts >= q.ts - interval '5400 seconds' and d.ts <= q.ts + interval '5400 seconds' where q.kind='view' and d.kind='click'""")
+def stage_pairs(t: Tables) -> DataFrame:
+    """Batch form of the stage join: views and clicks of one run at most ninety minutes apart."""
+    side = lambda kind, name: t.run_events.filter(C("kind") == kind).select(C("run_id").alias("image_id"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias(name))
+    q = side("view", "quality")
+    return stage_join(q, side("click", "detection_event"), 5400).select("image_id", C("quality").alias("quality_event"), "detection_event")
+
+
 @query("A-31", f"""
 with r as (select event_id, value as ms, unnest(case when event_type='purchase' then ['detect','cutout'] when event_type in ('click','view') then ['detect'] else ['cutout'] end) as tool from events)
 select tool, count(*) as invocations, {r6('sum(ms)')} as total_ms from r group by 1""")

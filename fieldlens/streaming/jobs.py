@@ -75,12 +75,19 @@ def with_static_quality(detections: DataFrame, quality: DataFrame) -> DataFrame:
     return detections.join(quality, "image_id", "left")
 
 
-def stage_join(quality: DataFrame, detections: DataFrame, bound: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Quality and detection rows of one image that arrive at most ``bound`` apart. Both need ``ts`` and ``image_id``."""
+def stage_join(quality: DataFrame, detections: DataFrame, bound_seconds: int = 600, watermark: str = "1 hour") -> DataFrame:
+    """Quality and detection rows of one image at most ``bound_seconds`` apart, on streams or on batches.
+
+    Both inputs need ``ts`` and ``image_id``. Rows meet on image and time bin (a quality row also visits the two
+    neighbouring bins), so a very busy image is spread over its bins; the interval condition lets a stream drop old state.
+    """
+    time_bin = lambda ts: F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bound_seconds * 1_000_000))
     q = quality.withWatermark("ts", watermark).select(F.col("image_id").alias("q_image"), F.col("ts").alias("q_ts"), "quality")
-    d = detections.withWatermark("ts", watermark)
-    near = F.expr(f"image_id = q_image and ts >= q_ts - interval {bound} and ts <= q_ts + interval {bound}")
-    return d.join(q, near).drop("q_image")
+    q = q.withColumn("q_bin", F.explode(F.sequence(time_bin("q_ts") - 1, time_bin("q_ts") + 1)))
+    d = detections.withWatermark("ts", watermark).withColumn("d_bin", time_bin("ts"))
+    span = f"interval {bound_seconds} seconds"
+    near = F.expr(f"image_id = q_image and d_bin = q_bin and ts >= q_ts - {span} and ts <= q_ts + {span}")
+    return d.join(q, near).drop("q_image", "q_bin", "d_bin")
 
 
 class MetadataUpsert:

@@ -74,7 +74,7 @@ def test_stage_join(spark, event_stream, tmp_path):
     ev, stream = event_stream
     q = lambda d: d.filter("kind = 'view'").select(F.col("run_id").alias("image_id"), "ts", F.col("ms").alias("quality"))
     d = lambda d: d.filter("kind = 'click'").select(F.col("run_id").alias("image_id"), "ts", "event_id")
-    out = J.run_to_memory(J.stage_join(q(stream()), d(stream()), "5 hours", "2 days"), "t_stage", "append", str(tmp_path / "cp"))
+    out = J.run_to_memory(J.stage_join(q(stream()), d(stream()), 5 * 3600, "2 days"), "t_stage", "append", str(tmp_path / "cp"))
     a, b = q(ev).toPandas(), d(ev).toPandas()
     m = a.merge(b, on="image_id", suffixes=("_q", ""))
     want = ((m.ts - m.ts_q).abs() <= pd.Timedelta(hours=5)).sum()
