@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlens.plans.tables import LOGICAL_SQL, Tables
+from fieldlens.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Tables(spark, sf_dir))
 
 

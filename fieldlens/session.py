@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,19 @@ def local_session(cpus: int | str = 8, app: str = "fieldlens", shuffle_partition
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, for functions that run inside tasks."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "fieldlens")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "fieldlens"))
+        _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
