@@ -24,6 +24,9 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    def active(self) -> np.ndarray:
+        return (self.weights != 0) | self.factors.any(axis=1)
+
     def logits(self, slots: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows are runs of (slot, value) beginning at ``starts``; every row has at least one feature."""
         xv = self.factors[slots] * values[:, None]
@@ -38,19 +41,25 @@ def sigmoid(z):
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8, epochs: int = 12, rate: float = 0.1,
-        l2: float = 1e-5, l2_factors: float = 1e-4, least_rows: int = 3, batch: int = 128, seed: int = 7) -> Machine:
+        l2: float = 1e-5, l2_factors: float = 1e-4, least_rows: int = 3, evidence: float = 0.0, positive: float = 1.0, batch: int = 128, seed: int = 7) -> Machine:
     """AdaGrad over a bounded sample held in memory. Slots met in fewer than ``least_rows`` rows keep weight 0.
 
+    ``positive`` is the weight of a row of class 1. Slots do so too whose share of class 1 differs too little from that of all rows: rows times Kullback-Leibler divergence below ``evidence``.
+
     Without rows, or with one class only, the machine answers the smoothed share of class 1 everywhere.
     """
     rng = np.random.default_rng(seed)
     y = np.array([r[2] for r in rows], dtype="f8")
+    weight = np.where(y > 0, positive, 1.0)
     prior = (y.sum() + 0.5) / (len(y) + 1)
     m = Machine(float(np.log(prior / (1 - prior))), np.zeros(size, "f4"), np.zeros((size, rank), "f4"))
     if len(set(y)) < 2:
         return m
     seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=size)
-    used = np.flatnonzero(seen >= least_rows)
+    ones = np.bincount(np.concatenate([r[0] for r in rows if r[2]]), minlength=size)
+    share, all_share = np.clip(ones / np.maximum(seen, 1), 1e-9, 1 - 1e-9), y.mean()
+    told = seen * (share * np.log(share / all_share) + (1 - share) * np.log((1 - share) / (1 - all_share)))
+    used = np.flatnonzero((seen >= least_rows) & (told >= evidence))
     compact = np.full(size, -1, "i8")
     compact[used] = np.arange(len(used))
     data = []
@@ -73,7 +82,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
             xv = v[slots] * x[:, None]
             total = np.add.reduceat(xv, starts, axis=0)
             z = b + np.add.reduceat(w[slots] * x, starts) + 0.5 * ((total ** 2).sum(1) - np.add.reduceat((xv ** 2).sum(1), starts))
-            g = (sigmoid(z) - y[picked]) / len(picked)
+            g = weight[picked] * (sigmoid(z) - y[picked]) / len(picked)
             u, at_u = np.unique(slots, return_inverse=True)
             gx = g[row] * x
             dw = np.bincount(at_u, gx, len(u)) + l2 * w[u]
@@ -89,25 +98,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
     return m
 
 
-class Words:
-    """Slots of words by a fixed hash, remembered per worker up to a bound."""
+class Words(dict):
+    """Slots of a word by a fixed hash, remembered per worker up to a bound: {word: (slot, ...)}.
+
+    ``forms`` gives the strings of a word that have slots; with ``active`` (a mask) slots outside it are left out.
+    """
 
-    def __init__(self, buckets: int, offset: int, limit: int = 500_000):
-        self.buckets, self.offset, self.limit, self.known = buckets, offset, limit, {}
+    def __init__(self, buckets: int, offset: int, forms=lambda w: (w,), active: np.ndarray | None = None):
+        super().__init__()
+        self.buckets, self.offset, self.forms, self.active = buckets, offset, forms, active
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        slots = {self.offset + zlib.crc32(f.encode("utf-8", "replace")) % self.buckets for f in self.forms(word)}
+        out = self[word] = tuple(s for s in slots if self.active is None or self.active[s])
+        return out
 
     def slots(self, words) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            s = known.get(w)
-            if s is None:
-                s = known[w] = self.offset + zlib.crc32(w.encode("utf-8", "replace")) % self.buckets
-            out.append(s)
-        return np.array(out, dtype="i8")
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, featurise: Callable[[], Featurise], bound: int,
+        """Distinct slots of the words, ascending."""
+        if len(self) > 500_000:
+            self.clear()
+        found = set().union(*map(self.__getitem__, words))
+        out = np.fromiter(found, "i8", len(found))
+        out.sort()
+        return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, featurise: Callable[..., Featurise], bound: int,
                     meta: str | None) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Features of at most ``bound`` labelled rows, chosen by a hash of the id, alike on every run.
 
@@ -133,20 +149,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return [(np.frombuffer(r.slots, "<i4").astype("i8"), np.frombuffer(r.vals, "<f4"), r.label) for r in rows.collect()]
 
 
-def score_column(machine: Machine, featurise: Callable[[], Featurise], spark, text: Column, meta: Column) -> Column:
+def score_column(machine: Machine, featurise: Callable[..., Featurise], spark, text: Column, meta: Column) -> Column:
     """Column of scores of ``text`` (null: empty) in Arrow batches; the machine's size is fixed by its parameters."""
     shared = spark.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series, metas: pd.Series) -> pd.Series:
-        f, out = featurise(), np.empty(len(texts))
+        held = shared.value
+        if not hasattr(held, "features"):  # one per worker, so that known words stay
+            held.features = featurise(held.active())
+        f, out = held.features, np.empty(len(texts))
         made, at, size = [], 0, 0
         for i, (t, m) in enumerate(zip(texts, metas)):
             made.append(f(t, m))
             size += len(made[-1][0])
             if size > 100_000 or i + 1 == len(out):
                 starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in made])[:-1]])
-                z = shared.value.logits(np.concatenate([s for s, _ in made]), np.concatenate([x for _, x in made]), starts)
+                z = held.logits(np.concatenate([s for s, _ in made]), np.concatenate([x for _, x in made]), starts)
                 out[at:i + 1] = sigmoid(z.astype("f8"))
                 made, at, size = [], i + 1, 0
         return pd.Series(out)

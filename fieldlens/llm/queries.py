@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlens.llm.byte_bpe import op1_byte_bpe
+from fieldlens.llm import grid_join, nearest
+from fieldlens.llm.grid_join import op5_embedding_dedup
+from fieldlens.llm.nearest import op3_nearest
 from fieldlens.llm.packing import op4_packing
 from fieldlens.llm.quality import op6_quality
 from fieldlens.llm.token_files import op8_token_files
 from fieldlens.llm.toxicity import op10_toxicity
 from fieldlens.session import ship_package
 
-_ALL = (op1_byte_bpe, op4_packing, op6_quality, op8_token_files, op10_toxicity)
+_ALL = (op1_byte_bpe, op3_nearest, op4_packing, op5_embedding_dedup, op6_quality, op8_token_files, op10_toxicity)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,4 +28,4 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {q.__name__: _shipped(q) for q in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_nearest": nearest.SQL, "op5_embedding_dedup": grid_join.SQL}
