@@ -38,3 +38,41 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 def _mark(e: DataFrame) -> tuple:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return (row[0], row[1])
+
+
+def linked_postings(post: DataFrame, verified, rounds: int = 2) -> DataFrame | None:
+    """Links (a, b) among the rows (cid, token) of ``post`` that connect exactly what all verified pairs sharing a token connect.
+
+    Members of one posting list first meet a leader of the list (star rounds with different leaders), so a list of any length gives as
+    many pairs as rows. What is still apart after that meets pair by pair, but only across components: members outside the largest
+    component of a list meet all others of it. ``verified`` maps distinct pairs (a, b) to those that are links. None: no pair shares a token.
+    """
+    found, tested, label = None, None, None
+    for step in range(rounds + 1):
+        here = post.withColumn("component", F.col("cid")) if label is None else (
+            post.join(label, post.cid == label.node, "left").select("cid", "token", F.coalesce("component_id", "cid").alias("component")))
+        split = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                          F.min(F.struct(F.xxhash64(F.lit(step), "cid").alias("h"), "cid", "component")).alias("lead"))
+        split = split.where("lo <> hi")
+        if step < rounds:
+            pairs = here.join(split.select("token", "lead"), "token").where("component <> lead.component").select(
+                F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"))
+        else:
+            apart = here.join(split.select("token"), "token")
+            largest = (apart.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
+                       .agg(F.max(F.struct("n", "component")).alias("m")).select("token", F.col("m.component").alias("largest")))
+            apart = written(apart.join(largest, "token"), "apart")
+            few = apart.where("component <> largest").select("token", F.col("cid").alias("x"), F.col("component").alias("cx"))
+            pairs = few.join(apart, "token").where("component <> cx and (component = largest or x < cid)").select(
+                F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b"))
+        pairs = pairs.distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        new = written(verified(pairs), "links")
+        found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
+        if step < rounds:
+            label = connected_components(found, "a", "b")
+    return found
