@@ -40,12 +40,13 @@ def _mark(e: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def linked_postings(post: DataFrame, verified, rounds: int = 2) -> DataFrame | None:
+def linked_postings(post: DataFrame, verified, rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) among the rows (cid, token) of ``post`` that connect exactly what all verified pairs sharing a token connect.
 
     Members of one posting list first meet a leader of the list (star rounds with different leaders), so a list of any length gives as
     many pairs as rows. What is still apart after that meets pair by pair, but only across components: members outside the largest
-    component of a list meet all others of it. ``verified`` maps distinct pairs (a, b) to those that are links. None: no pair shares a token.
+    component of a list meet all others of it. ``verified`` maps distinct pairs (a, b) to those that are links. Also gives
+    the components of the links where they are known already. (None, None): no pair shares a token.
     """
     found, tested, label = None, None, None
     for step in range(rounds + 1):
@@ -73,6 +74,8 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2) -> DataFrame | N
             break
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
-        if step < rounds:
+        if label is None or not new.isEmpty():
+            if step == rounds:
+                return found, None
             label = connected_components(found, "a", "b")
-    return found
+    return found, label

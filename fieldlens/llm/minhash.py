@@ -150,7 +150,7 @@ def links(docs: DataFrame, sketch: DataFrame, words: int, percent: int, coordina
             pairs = pairs.join(full.select(F.col("cid").alias(s), F.col("set").alias(f"set_{s}")), s)
         return _jaccard(pairs, percent)
 
-    found = linked_postings(post, verified)
+    found, _ = linked_postings(post, verified)
     reps = classes.select("cid", "rep")
     if found is None:
         return reps.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).where("false")
