@@ -40,16 +40,17 @@ def _mark(e: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def linked_postings(post: DataFrame, verified, rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links (a, b) among the rows (cid, token) of ``post`` that connect exactly what all verified pairs sharing a token connect.
+def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (a, b) among the rows (cid, token) of ``post``; they connect exactly what all verified pairs sharing a token connect.
 
     Members of one posting list first meet a leader of the list (star rounds with different leaders), so a list of any length gives as
     many pairs as rows. What is still apart after that meets pair by pair, but only across components: members outside the largest
-    component of a list meet all others of it. ``verified`` maps distinct pairs (a, b) to those that are links. Also gives
+    component of a list meet all others of it; without ``across`` that last step is left out, pairs stay linear in the rows whatever lists
+    hold, and a link is found unless its ends are both unlike the leaders of all lists and rounds that they share. ``verified`` maps distinct pairs (a, b) to those that are links. Also gives
     the components of the links where they are known already. (None, None): no pair shares a token.
     """
     found, tested, label = None, None, None
-    for step in range(rounds + 1):
+    for step in range(rounds + across):
         here = post.withColumn("component", F.col("cid")) if label is None else (
             post.join(label, post.cid == label.node, "left").select("cid", "token", F.coalesce("component_id", "cid").alias("component")))
         split = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -75,7 +76,7 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2) -> tuple[DataFra
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
         if label is None or not new.isEmpty():
-            if step == rounds:
+            if step == rounds + across - 1:
                 return found, None
             label = connected_components(found, "a", "b")
     return found, label
