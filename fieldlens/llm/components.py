@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from fieldlens.llm.store import drop, written
 
 
+#: Members of a posting list above which the last step compares blocks in place of pairs of rows.
+LONG = 64
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest reachable id of every linked node: rows (node, component_id), without the smallest nodes themselves.
 
@@ -40,12 +44,13 @@ def _mark(e: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
+def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = True, dense=None) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) among the rows (cid, token) of ``post``; they connect exactly what all verified pairs sharing a token connect.
 
     Members of one posting list first meet a leader of the list (star rounds with different leaders), so a list of any length gives as
     many pairs as rows. What is still apart after that meets pair by pair, but only across components: members outside the largest
-    component of a list meet all others of it; without ``across`` that last step is left out, pairs stay linear in the rows whatever lists
+    component of a list meet all others of it. Lists of more than ``LONG`` members then go to ``dense``, which maps their rows (token, cid,
+    component) to links without emitting pairs, if it is given. Without ``across`` that last step is left out, pairs stay linear in the rows whatever lists
     hold, and a link is found unless its ends are both unlike the leaders of all lists and rounds that they share. ``verified`` maps distinct pairs (a, b) to those that are links. Also gives
     the components of the links where they are known already. (None, None): no pair shares a token.
     """
@@ -62,8 +67,13 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = T
         else:
             apart = here.join(split.select("token"), "token")
             largest = (apart.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
-                       .agg(F.max(F.struct("n", "component")).alias("m")).select("token", F.col("m.component").alias("largest")))
+                       .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
+                       .select("token", F.col("m.component").alias("largest"), "n"))
             apart = written(apart.join(largest, "token"), "apart")
+            if dense is not None:
+                more = written(dense(apart.where(F.col("n") > LONG).select("token", "cid", "component")), "dense")
+                found = more if found is None else found.unionByName(more)
+                apart = apart.where(F.col("n") <= LONG)
             few = apart.where("component <> largest").select("token", F.col("cid").alias("x"), F.col("component").alias("cx"))
             pairs = few.join(apart, "token").where("component <> cx and (component = largest or x < cid)").select(
                 F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b"))
@@ -72,7 +82,9 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = T
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if step < rounds:  # no list spans two components
+                break
+            return found, None
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
         if label is None or not new.isEmpty():

@@ -7,14 +7,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.components import connected_components, linked_postings
+from fieldlens.llm.grid_join import Forest
 from fieldlens.llm.store import documents, written
 from fieldlens.llm.words import WordHashes, ascii_words
 
 COORDINATES = 64
+BLOCK = 512  # members of a long posting list in one block
 MISS = 1e-6  # most likely share of linked pairs below the match threshold
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +120,59 @@ def _jaccard(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def block_links(members: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what all links inside a group of (group, cid, component, signature, set) connect.
+
+    A group is dealt into blocks of about ``BLOCK`` members, and each pair of blocks is one task's table: collisions are counted as a
+    matrix, and where pairs of different components reach ``matches``, intersections are products of 0/1 matrices over the shingles of
+    the two blocks. Only a spanning forest leaves a table.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.join(sizes, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "component",
+                         "signature", "set")
+
+    def tile(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, cid, component = (table[c].to_numpy() for c in ("block", "cid", "component"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        signature = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+        same = np.zeros((len(left), len(right)), "u1")
+        for k in range(signature.shape[1]):
+            same += signature[left, k][:, None] == signature[right, k][None, :]
+        wanted = (same >= matches) & (component[left][:, None] != component[right][None, :])
+        forest = Forest(len(cid))
+        rows, cols = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        if len(rows):
+            a, b = left[rows], right[cols]
+            sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
+            linked = wanted[np.ix_(rows, cols)] & similar([sets[x] for x in a], [sets[x] for x in b], percent)
+            forest.link(a, b, linked)
+        apart = np.flatnonzero(forest.root != np.arange(len(cid)))
+        return pa.table({"a": cid[apart], "b": cid[forest.root[apart]]})
+
+    return tiles.groupBy("group", "i", "j").applyInArrow(tile, "a bigint, b bigint")
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sorted sets reach the similarity, from intersections summed over runs of the common vocabulary."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    inter = np.zeros((len(left), len(right)), "f8")
+    places = [[np.flatnonzero(np.isin(both, s, assume_unique=True)) for s in side] for side in (left, right)]
+    for at in range(0, len(both), 4096):
+        m = []
+        for side in places:
+            x = np.zeros((len(side), min(4096, len(both) - at)), "f4")
+            for r, p in enumerate(side):
+                x[r, p[np.searchsorted(p, at):np.searchsorted(p, at + 4096)] - at] = 1
+            m.append(x)
+        inter += m[0] @ m[1].T
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return 100 * inter >= percent * (sizes - inter)
+
+
 def links(docs: DataFrame, sketch: DataFrame, words: int, percent: int, coordinates: int = COORDINATES) -> DataFrame:
     """Links (rep_a, rep_b) between different shingle sets that connect exactly what all links at ``percent`` similarity connect.
 
@@ -150,7 +205,14 @@ def links(docs: DataFrame, sketch: DataFrame, words: int, percent: int, coordina
             pairs = pairs.join(full.select(F.col("cid").alias(s), F.col("set").alias(f"set_{s}")), s)
         return _jaccard(pairs, percent)
 
-    found, _ = linked_postings(post, verified)
+    def dense(rows: DataFrame) -> DataFrame:
+        stars = rows.withColumn("least", F.min("cid").over(Window.partitionBy("token"))).select("cid", "least").distinct()
+        group = connected_components(stars, "cid", "least")
+        group = group.unionByName(group.select(F.col("component_id").alias("node"), "component_id").distinct())
+        members = rows.select("cid", "component").distinct().join(group, F.col("cid") == F.col("node"))
+        return block_links(members.select(F.col("component_id").alias("group"), "cid", "component").join(full, "cid"), matches, percent)
+
+    found, _ = linked_postings(post, verified, dense=dense)
     reps = classes.select("cid", "rep")
     if found is None:
         return reps.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).where("false")
