@@ -283,14 +283,15 @@ def pair_order_correlation(df: DataFrame, pred: str, label: str) -> DataFrame:
     counts = levels.select(pred, "_level", prefix.alias("_prefix"), "_n", bit.alias("_set")).groupBy("_level", "_prefix", pred).agg(
         F.sum(F.when(~F.col("_set"), F.col("_n")).otherwise(0)).alias("_clear"), F.sum(F.when(F.col("_set"), F.col("_n")).otherwise(0)).alias("_setn"))
     ready, slice_of = value_slices(counts, pred)
+    d = lambda c: F.col(c).cast("double")  # products of counts leave the range of a long
     run = running_sums(ready, ["_level", "_prefix"], [slice_of], [F.col(pred)], {"_cc": F.col("_clear"), "_cs": F.col("_setn")})
     signed = run.agg(F.coalesce(
-        F.sum(F.col("_setn") * (F.col("_cc") - F.col("_clear")) - F.col("_clear") * (F.col("_cs") - F.col("_setn"))), F.lit(0)).alias("s"))
+        F.sum(d("_setn") * (F.col("_cc") - F.col("_clear")) - d("_clear") * (F.col("_cs") - F.col("_setn"))), F.lit(0.0)).alias("s"))
     ties = lambda c, out: df.groupBy(c).agg(F.count(F.lit(1)).alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(out), F.sum("t").alias("n"))
+        F.sum(d("t") * (F.col("t") - 1) / 2).alias(out), F.sum("t").alias("n"))
     a, b = ties(pred, "ta"), ties(label, "tb").drop("n")
     one = a.withColumn("tb", b.scalar()).withColumn("s", signed.scalar())
-    all_pairs = F.col("n") * (F.col("n") - 1) / 2
+    all_pairs = d("n") * (F.col("n") - 1) / 2
     return one.select((F.col("s") / F.sqrt((all_pairs - F.col("ta")) * (all_pairs - F.col("tb")))).alias("krocc"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
@@ -176,24 +176,19 @@ def focal_class_cost(p: Column, alpha: float = 0.25, gamma: float = 2.0) -> Colu
 
 def match_costs(
     queries: DataFrame, targets: DataFrame, class_weight: float = 1.0, box_weight: float = 1.0, giou_weight: float = 1.0,
-    max_queries: int = 300,
 ) -> DataFrame:
     """Cost of every (query, target) of an image: class + L1 of centre boxes - generalised IoU.
 
-    ``queries``: image_id, query_id, logits (array over classes), x1..y2 in units of the image, at most ``max_queries``
-    per image (the number the model emits, enforced). ``targets``: image_id, target_id, class_id, x1..y2. The rows grow
-    linearly with the targets. Beyond ``max_queries`` targets, only as many cheapest targets per query are kept as
-    there can be queries: the others can never be needed by a minimum-cost assignment.
+    ``queries``: image_id, query_id, logits (array over classes), x1..y2 in units of the image. ``targets``: image_id,
+    target_id, class_id, x1..y2.
     """
-    checked = queries.withColumn("_ok", F.assert_true(F.col("query_id").between(0, max_queries - 1), F.lit("query_id out of range")))
     t = targets.select("image_id", "target_id", "class_id", *[F.col(c).alias(f"{c}_b") for c in _BOX])
-    pairs = checked.filter(F.col("_ok").isNull()).join(t, "image_id")
+    pairs = queries.join(t, "image_id")
     a, b = Box.of(), Box.of(suffix="_b")
     l1 = sum((F.abs(p - q) for p, q in zip(G.center_from_corners(a), G.center_from_corners(b))), F.lit(0.0))
     prob = sigmoid(F.get("logits", F.col("class_id")))
     cost = class_weight * focal_class_cost(prob) + box_weight * l1 - giou_weight * G.generalized_iou(a, b)
-    priced = pairs.select("image_id", "query_id", "target_id", cost.alias("cost"))
-    return top_k(priced, ["image_id", "query_id"], [F.col("cost"), F.col("target_id")], max_queries)
+    return pairs.select("image_id", "query_id", "target_id", cost.alias("cost"))
 
 
 def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,8 +227,15 @@ def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign_targets(costs: DataFrame) -> DataFrame:
-    """Minimum-cost 1:1 assignment per image over ``match_costs`` rows (a bounded number per image)."""
-    grouped = costs.groupBy("image_id").agg(F.collect_list(F.struct("query_id", "target_id", "cost")).alias("c"))
+    """Minimum-cost 1:1 assignment per image over ``match_costs`` rows.
+
+    An image with n queries needs only the n cheapest targets of each query, since the others can take at most n - 1; so
+    a task holds n x n costs however many targets there are.
+    """
+    sizes = costs.groupBy("image_id").agg(F.count_distinct("query_id").alias("_n"))
+    cheapest = F.row_number().over(Window.partitionBy("image_id", "query_id").orderBy("cost", "target_id"))
+    needed = costs.join(sizes, "image_id").withColumn("_r", cheapest).filter("_r <= _n").select("image_id", "query_id", "target_id", "cost")
+    grouped = needed.groupBy("image_id").agg(F.collect_list(F.struct("query_id", "target_id", "cost")).alias("c"))
     flat = grouped.select("image_id", F.col("c.query_id").alias("q"), F.col("c.target_id").alias("t"), F.col("c.cost").alias("cost"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -47,31 +47,12 @@ def coco_categories(spark: SparkSession) -> DataFrame:
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, folder: str) -> None:
-    """JSON-lines datasets partitioned by ``split``: the form that scales. See ``coco_documents`` for single documents."""
+    """JSON-lines datasets partitioned by ``split``: the form that scales."""
     for name, table in (("images", images), ("annotations", annotations)):
         table.write.mode("overwrite").partitionBy("split").json(f"{folder}/{name}")
     categories.write.mode("overwrite").json(f"{folder}/categories")
 
 
-def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """One JSON document per split, for tools that need a single file.
-
-    A document is one value in one task, so splits with more than ``limit`` annotations or images are refused (use
-    ``write_coco``); nothing is cut off.
-    """
-    guard = lambda n: F.assert_true(n <= limit, F.lit("split too large for a single document; use write_coco"))
-    rows = lambda d, name: d.groupBy("split").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.collect_list(F.struct(*[c for c in d.columns if c != "split"])).alias(name))
-    sizes = images.groupBy("split").agg(F.count(F.lit(1)).alias("_n")).unionByName(annotations.groupBy("split").agg(F.count(F.lit(1)).alias("_n")))
-    ok = sizes.groupBy("split").agg(F.max("_n").alias("_n")).filter(guard(F.col("_n")).isNull()).select("split")
-    i, a = rows(images.join(ok, "split", "left_semi"), "images"), rows(annotations.join(ok, "split", "left_semi"), "annotations")
-    cats = categories.agg(F.collect_list(F.struct("id", "name", "supercategory")).alias("categories"))
-    doc = F.struct(
-        F.struct(F.lit("1.0").alias("version"), F.col("split").alias("description")).alias("info"),
-        F.array(F.struct(F.lit(1).alias("id"), F.lit("Unknown").alias("name"), F.lit("").alias("url"))).alias("licenses"),
-        F.col("categories"), F.col("images"), F.col("annotations"))
-    return i.join(a, "split", "left").withColumn("categories", cats.scalar()).select("split", F.to_json(doc).alias("document"))
-
-
 def read_mos_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MOS_LABELS).option("header", "true").csv(path)
 

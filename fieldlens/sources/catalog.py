@@ -13,11 +13,12 @@ from fieldlens.operators.selection import check_requested, last_source_wins, req
 from fieldlens.schemas import BINARY_FILE
 
 
-def source_kind(source: str) -> str:
+def source_kind(spark: SparkSession, source: str) -> str:
+    """What the file system says a source is."""
     if any(c in source for c in "*?["):
         return "glob"
-    last = source.rstrip("/").rsplit("/", 1)[-1]
-    return "directory" if source.endswith("/") or "." not in last else "file"
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    return "directory" if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory() else "file"
 
 
 def list_files(spark: SparkSession, source: str) -> DataFrame:
@@ -41,7 +42,7 @@ def read_image_catalog(spark: SparkSession, sources: Sequence[str], strict: bool
                 raise
             rejects.append((source, "missing"))
             continue
-        rows = files.select("path", F.lit(source).alias("source"), F.lit(source_kind(source)).alias("source_type"), "length", "modificationTime", F.lit(i).alias("_order"))
+        rows = files.select("path", F.lit(source).alias("source"), F.lit(source_kind(spark, source)).alias("source_type"), "length", "modificationTime", F.lit(i).alias("_order"))
         listed = rows if listed is None else listed.unionByName(rows)
     missing = spark.createDataFrame(rejects, "path string, reason string")
     if listed is None:

@@ -102,24 +102,30 @@ class MetadataUpsert:
         self.deltas, self.bases = f"{folder.rstrip('/')}/deltas", f"{folder.rstrip('/')}/bases"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("image_id").agg(*[
-            F.max_by(s, F.when(F.col(s).isNotNull(), F.col("ts"))).alias(s) for s in batch.columns if s not in ("image_id", "ts")])
+        own = [s for s in batch.columns if s not in ("image_id", "ts")]
+        told = lambda s: F.when(F.col(s).isNotNull(), F.col("ts"))
+        newest = batch.groupBy("image_id").agg(*[e for s in own for e in (F.max_by(s, told(s)).alias(s), F.max(told(s)).alias(f"{s}__at"))])
         self._write(newest.withColumn("batch_id", F.lit(batch_id)), "batch_id", self.deltas)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """Current sections, one row per image."""
+        """Current sections, one row per image: the value with the newest time of its own, of equal times that of the last batch."""
+        current = self._current(spark)
+        return current.select([c for c in current.columns if not c.endswith("__at")])
+
+    def _current(self, spark: SparkSession) -> DataFrame:
         deltas = spark.read.parquet(self.deltas)
-        sections = [c for c in deltas.columns if c not in ("image_id", "batch_id")]
+        sections = [c for c in deltas.columns if c not in ("image_id", "batch_id") and not c.endswith("__at")]
         base, upto = self._base(spark)
         if base is not None:
             deltas = deltas.filter(F.col("batch_id") > upto).unionByName(base.withColumnRenamed("upto", "batch_id"))
         return deltas.groupBy("image_id").agg(*[
-            F.max_by(s, F.when(F.col(s).isNotNull(), F.col("batch_id"))).alias(s) for s in sections])
+            e for s in sections for e in (
+                F.max_by(s, F.when(F.col(s).isNotNull(), F.struct(f"{s}__at", "batch_id"))).alias(s), F.max(f"{s}__at").alias(f"{s}__at"))])
 
     def compact(self, spark: SparkSession) -> None:
         """Write a base that covers all batches so far."""
         upto = spark.read.parquet(self.deltas).agg(F.max("batch_id")).first()[0]
-        self._write(self.read(spark).withColumn("upto", F.lit(upto)), "upto", self.bases)
+        self._write(self._current(spark).withColumn("upto", F.lit(upto)), "upto", self.bases)
 
     def _base(self, spark: SparkSession):
         try:

@@ -119,8 +119,9 @@ def test_assignment(shape):
         assert abs(cost[rows, cols].sum() - best) < 1e-9
 
 
-def test_match_costs_reject_too_many_queries(spark):
-    q = spark.createDataFrame([(1, 400, [0.0], 0.0, 0.0, 1.0, 1.0)], "image_id int, query_id int, logits array<double>, x1 double, y1 double, x2 double, y2 double")
-    t = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 1.0, 1.0)], "image_id int, target_id int, class_id int, x1 double, y1 double, x2 double, y2 double")
-    with pytest.raises(Exception, match="query_id out of range"):
-        M.match_costs(q, t).collect()
+def test_match_costs_keep_every_pair(spark):
+    q = spark.createDataFrame([(1, 400, [0.0], 0.0, 0.0, 1.0, 1.0)], "image_id long, query_id int, logits array<double>, x1 double, y1 double, x2 double, y2 double")
+    t = spark.createDataFrame([(1, i, 0, 0.0, 0.0, 1.0, 1.0 + i) for i in range(400)], "image_id long, target_id int, class_id int, x1 double, y1 double, x2 double, y2 double")
+    costs = M.match_costs(q, t)
+    assert costs.count() == 400
+    assert [(r.query_id, r.target_id) for r in M.assign_targets(costs).collect()] == [(400, 0)]

@@ -108,6 +108,10 @@ def test_upsert_sink(spark, tmp_path):
     assert show() == want
     sink(spark.createDataFrame([(2, at(9), None, "q9")], schema), 2)
     assert show() == {(1, "d2", "q1"), (2, "x", "q9"), (3, None, "q3")}
+    sink(spark.createDataFrame([(2, at(5), "x5", "late")], schema), 3)  # older than what is known of q, newer than d
+    assert show() == {(1, "d2", "q1"), (2, "x5", "q9"), (3, None, "q3")}
+    sink.compact(spark)
+    assert show() == {(1, "d2", "q1"), (2, "x5", "q9"), (3, None, "q3")}
 
 
 def test_progress_listener(spark, event_stream, tmp_path):
