@@ -25,22 +25,31 @@ def cut(text: str) -> tuple[str, list[str]]:
 
 
 class PieceCache:
-    """Encodings of distinct pieces, at most ``limit`` plus one slice of texts at a time (then started anew)."""
+    """Encodings of distinct pieces. When a generation of ``limit`` pieces is full it becomes the old one, from which pieces met again move on;
+    so frequent pieces stay, and at most two generations and one slice of texts are held."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = _LIMIT):
-        self.encode, self.limit, self.heads, self.tails = encode, limit, {}, {}
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, dict] = {"": {}, " ": {}}
+        self.old: dict[str, dict] = {"": {}, " ": {}}
+
+    def _learn(self, space: str, found: set[str]) -> dict:
+        if len(self.young[space]) > self.limit:
+            self.old[space], self.young[space] = self.young[space], {}
+        young, old = self.young[space], self.old[space]
+        missing = found.difference(young)
+        again = missing.intersection(old) if old else ()
+        young.update((p, old[p]) for p in again)
+        new = list(missing.difference(again))
+        young.update(zip(new, self.encode([space + p for p in new])))
+        return young
 
     def lookup(self, texts: list[str]) -> list[tuple[object, list]]:
         """Encodings of the first piece and of the later pieces of each text."""
         cuts = [cut(t) for t in texts]
-        if len(self.heads) + len(self.tails) > self.limit:
-            self.heads.clear()
-            self.tails.clear()
-        for known, found, space in ((self.heads, {h for h, _ in cuts}, ""), (self.tails, set().union(*(t for _, t in cuts)), " ")):
-            new = list(found.difference(known))
-            known.update(zip(new, self.encode([space + p for p in new])))
-        tail = self.tails.__getitem__
-        return [(self.heads[h], list(map(tail, t))) for h, t in cuts]
+        heads = self._learn("", {h for h, _ in cuts})
+        tail = self._learn(" ", set().union(*(t for _, t in cuts))).__getitem__
+        return [(heads[h], list(map(tail, t))) for h, t in cuts]
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
