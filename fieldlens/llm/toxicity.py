@@ -12,7 +12,7 @@ from fieldlens.llm.factorisation import Machine, Words, fit, in_fold, labelled_s
 from fieldlens.llm.store import documents
 
 SIZE = 1 << 18
-SAMPLE = 20_000  # most labelled rows used for fitting
+SAMPLE = 12_000  # most labelled rows used for fitting; they pass through the driver's memory
 THRESHOLD = 0.7
 EVIDENCE = 6.5  # see factorisation.fit
 STEMS = (4, 5, 6)  # lengths of stems in letters
