@@ -31,10 +31,10 @@ def output_differences(pairs: DataFrame) -> DataFrame:
     )
 
 
-def difference_rollup(per_image: DataFrame, metrics: Sequence[str] = DIFFERENCES) -> DataFrame:
-    """Average and maximum of every metric over the images, as (metric, avg, max) rows."""
-    long = per_image.unpivot(["image_id"], list(metrics), "metric", "value")
-    return long.groupBy("metric").agg(F.avg("value").alias("avg_value"), F.max("value").alias("max_value"))
+def difference_rollup(per_image: DataFrame, metrics: Sequence[str] = DIFFERENCES, by: Sequence[str] = ()) -> DataFrame:
+    """Average and maximum of every metric over the images, as (metric, avg, max) rows for each value of ``by``."""
+    long = per_image.unpivot([*by, "image_id"], list(metrics), "metric", "value")
+    return long.groupBy(*by, "metric").agg(F.avg("value").alias("avg_value"), F.max("value").alias("max_value"))
 
 
 def within_tolerance(per_image: DataFrame, tolerance: float = 0.01) -> DataFrame:

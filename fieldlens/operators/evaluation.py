@@ -246,8 +246,8 @@ def topk_accuracy(rows: DataFrame, ks: Sequence[int] = (1,)) -> DataFrame:
 
 # ---- agreement of quality scores -----------------------------------------------------------------------------------
 
-def mean_squared_error(df: DataFrame, pred: str, label: str) -> DataFrame:
-    return df.agg(F.avg(F.pow(F.col(pred) - F.col(label), F.lit(2.0))).alias("mse"))
+def mean_squared_error(df: DataFrame, pred: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg(F.pow(F.col(pred) - F.col(label), F.lit(2.0))).alias("mse"))
 
 
 def linear_correlation(df: DataFrame, pred: str, label: str) -> DataFrame:

@@ -67,7 +67,7 @@ def row_numbers(
 def slice_count(df: DataFrame) -> int:
     """How many slices to cut: a few per shuffle partition, so that every task of a large cluster gets some."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, min(4096, 2 * partitions))
+    return max(64, 2 * partitions)
 
 
 def _quantiles(column: str, n: int) -> Column:

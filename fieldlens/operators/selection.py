@@ -45,10 +45,17 @@ def range_violations(df: DataFrame, ranges: dict[str, tuple[float, float]], keys
 
 
 def non_finite(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is NaN or infinite."""
     c = F.col(column)
     return df.filter(F.isnan(c) | (F.abs(c) == float("inf")))
 
 
+def finite(df: DataFrame, column: str) -> DataFrame:
+    """The other rows; a NULL value is not a wrong number and stays."""
+    c = F.col(column)
+    return df.filter(c.isNull() | ~(F.isnan(c) | (F.abs(c) == float("inf"))))
+
+
 # ---- catalog -------------------------------------------------------------------------------------------------------
 
 def last_source_wins(catalog: DataFrame, source_order: str) -> DataFrame:
@@ -130,9 +137,9 @@ def shuffled_halves(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def seeded_unit(key: Column, seed: int, salt: str = "") -> Column:
-    """A repeatable number in [0, 1) per key."""
-    bits = F.xxhash64(key, F.lit(seed), F.lit(salt))
-    return F.pmod(bits, F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A repeatable number in [0, 1) per key: the first 52 bits of a digest, which other engines compute too."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(salt)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def sample_rows(df: DataFrame, key: str, p: float, seed: int) -> DataFrame:

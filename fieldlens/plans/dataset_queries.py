@@ -43,15 +43,17 @@ def part_group_orientations(t: Tables) -> DataFrame:
 
 
 _ANN = f"""{_GROUPS}, {_ORIENT},
-bx as (select image_id, 0 as category_id, x1*1.5 as x, y1*1.5 as y, (x2-x1)*3 as w, (y2-y1)*3 as h from detections where det_id = 1
+bx as (select image_id, 0 as category_id, min(x1)*1.5 as x, min(y1)*1.5 as y, (max(x2)-min(x1))*3 as w, (max(y2)-min(y1))*3 as h from detections group by 1
   union all select image_id, case part_group when 'head' then 1 when 'eye' then 2 else 3 end, x, y, w, h from ext where part_group in ('head','eye','beak')),
 c as (select image_id, category_id, greatest(0, least(x, width-1)) as x, greatest(0, least(y, height-1)) as y, w, h, width, height from bx join images using (image_id)),
 ann as (select image_id, category_id, x, y, greatest(1, least(w, width-x)) as w, greatest(1, least(h, height-y)) as h, theta as orient from c left join ori using (image_id, category_id))"""
 
 
 def _boxes(t: Tables) -> DataFrame:
-    """One object box per image: the first detection, enlarged."""
-    return t.detections.filter("det_id = 1").select("image_id", (C("x1") * 1.5).alias("x"), (C("y1") * 1.5).alias("y"), ((C("x2") - C("x1")) * 3).alias("w"), ((C("y2") - C("y1")) * 3).alias("h"))
+    """One object box per image: the hull of its detections, enlarged."""
+    left, top = F.min("x1"), F.min("y1")
+    return t.boxes.groupBy("image_id").agg(
+        (left * 1.5).alias("x"), (top * 1.5).alias("y"), ((F.max("x2") - left) * 3).alias("w"), ((F.max("y2") - top) * 3).alias("h"))
 
 
 @query("D-01 J-01 A-03 A-04 G-06 G-13 W-09", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlens.functions.geometry import Box
 from fieldlens.operators import evaluation as E
 from fieldlens.operators.selection import class_name
-from fieldlens.plans.matching_queries import _GREEDY, _truth
+from fieldlens.plans.matching_queries import _GREEDY
 from fieldlens.plans.registry import query, r6
 from fieldlens.plans.tables import Tables
 from fieldlens.schemas import AREA_RANGES, IOU_THRESHOLDS
@@ -49,14 +49,14 @@ grid as (select class_id, i, j, coalesce(max(prec) filter (rec >= j*0.01::double
 @query("A-17 W-06 F-04", _RULE + f"""
 select class_id, cast(i as int) as thr_no, {r6('avg(precision)')} as ap, {r6('max(precision)')} as best from grid group by 1, 2""")
 def average_precision(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
     return _round(table.groupBy("class_id", "thr_no").agg(F.avg("precision").alias("ap"), F.max("precision").alias("best")), "ap", "best")
 
 
 @query("A-17", _RULE + f"""
 select class_id, cast(j as int) as recall_no, {r6('precision')} as precision, {r6('score')} as score from grid where i = 3""")
 def precision_at_recall(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
     return _round(table.filter("thr_no = 3").select("class_id", "recall_no", "precision", "score"), "precision", "score")
 
 
@@ -69,7 +69,7 @@ select class, {r6('avg(precision)')} as ap, {r6('avg(precision) filter (i=0)')}
 union all select 'all', {r6('avg(precision)')}, {r6('avg(precision) filter (i=0)')}, {r6('avg(precision) filter (i=0 and j=bj)')},
   {r6('max(bj*0.01::double)')}, {r6('avg(score) filter (i=0 and j=bj)')} from r""")
 def class_report(t: Tables) -> DataFrame:
-    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.boxes)
+    table = E.precision_table(_flags(t), _truth_counts(t), IOU_THRESHOLDS, t.candidate)
     return _round(E.class_report(table, class_name(F.col("class_id"))), "ap", "ap50", "precision", "recall", "score_threshold")
 
 
@@ -89,7 +89,7 @@ def precision_recall_curve(t: Tables) -> DataFrame:
 
 @query("D-08 J-06 A-17 A-18", _GREEDY.replace("select pr.image_id", "\n, fin as (select pr.image_id", 1)[: _GREEDY.replace("select pr.image_id", "\n, fin as (select pr.image_id", 1).rindex("group by 1, 2, 3")] + f"""group by 1, 2, 3),
 m as (select f.*, c.confidence, i, case when i=0 then tp50 else tp75 end as tp from fin f join candidate c using (image_id, class_id, det_id), (select unnest([0, 1]) as i)),
-n as (select class_id, count(*) as npos from detections where det_id <= 3 group by 1),
+n as (select class_id, count(*) as npos from detections group by 1),
 c as (select m.*, npos, sum(tp) over w as ctp, sum(1-tp) over w as cfp from m join n using (class_id)
   window w as (partition by class_id, i order by confidence desc, image_id, det_id rows unbounded preceding)),
 e as (select *, ctp/(ctp+cfp) as prec, ctp/npos as rec from c where tp=1),
@@ -99,14 +99,14 @@ select class_id, case when i=0 then 0.5::double else 0.75::double end as thresho
   {r6('(select max(rec) from e where e.class_id=grid.class_id and e.i=grid.i)')} as max_recall from grid group by class_id, i""")
 def evaluated_detections(t: Tables) -> DataFrame:
     """End to end: exclusive matching of the second run against the truths, then average precision."""
-    table, _ = E.evaluate_detections(t.candidate, _truth(t), thresholds=(0.5, 0.75))
+    table, _ = E.evaluate_detections(t.candidate, t.detections, thresholds=(0.5, 0.75))
     return _round(table.groupBy("class_id", "threshold").agg(F.avg("precision").alias("ap"), F.max("max_recall").alias("max_recall")), "ap", "max_recall")
 
 
 @query("A-17")
 def evaluation_summary(t: Tables) -> DataFrame:
     """All thresholds, all area ranges: the twelve summary statistics (checked by brute force in the tests)."""
-    table, recalls = E.evaluate_detections(t.candidate, _truth(t), areas=tuple(AREA_RANGES))
+    table, recalls = E.evaluate_detections(t.candidate, t.detections, areas=tuple(AREA_RANGES))
     return _round(E.summary_statistics(table, recalls), "value")
 
 
@@ -206,6 +206,4 @@ def pair_order_correlation(t: Tables) -> DataFrame:
 
 @query("A-20", f"select is_valid, {r6('avg(pow(pred-label, 2))')} as mse from mos group by 1")
 def mean_loss(t: Tables) -> DataFrame:
-    valid = E.mean_squared_error(t.mos.filter("is_valid"), "pred", "label").withColumn("is_valid", F.lit(True))
-    train = E.mean_squared_error(t.mos.filter("not is_valid"), "pred", "label").withColumn("is_valid", F.lit(False))
-    return _round(valid.unionByName(train), "mse")
+    return _round(E.mean_squared_error(t.mos, "pred", "label", ["is_valid"]), "mse")

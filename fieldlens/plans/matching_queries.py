@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions.geometry import Box
 from fieldlens.operators import matching as M
-from fieldlens.operators.selection import class_name, top_k
+from fieldlens.operators.selection import class_name
 from fieldlens.plans.registry import query, r6
 from fieldlens.plans.tables import Tables
 
@@ -49,22 +49,18 @@ def best_match_per_detection(t: Tables) -> DataFrame:
 _PRED = f"""(select image_id, det_id, class_id, match_id, match_class, iou from (
   select a.image_id, a.det_id, a.class_id, b.det_id as match_id, b.class_id as match_class, {_IOU} as iou,
     row_number() over (partition by a.image_id, a.det_id order by {_IOU} desc nulls last, b.det_id) as rn
-  from candidate a left join detections b on a.image_id = b.image_id and b.det_id <= 3 and {_IOU} > 0.1) where rn = 1)"""
-
-
-def _truth(t: Tables) -> DataFrame:
-    return t.detections.filter("det_id <= 3")
+  from candidate a left join detections b on a.image_id = b.image_id and {_IOU} > 0.1) where rn = 1)"""
 
 
 @query("J-05", f"select image_id, det_id, match_id, {r6('iou')} as iou from {_PRED} where match_id is not null")
 def accepted_predictions(t: Tables) -> DataFrame:
-    matched, _ = M.accepted_matches(t.candidate, _truth(t), ["image_id"], "det_id", "det_id", 0.1)
+    matched, _ = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1)
     return matched.select("image_id", "det_id", "match_id", (F.round("iou", 6) + F.lit(0.0)).alias("iou"))
 
 
 @query("J-05", f"select image_id, det_id from {_PRED} where match_id is null")
 def unmatched_predictions(t: Tables) -> DataFrame:
-    _, unmatched = M.accepted_matches(t.candidate, _truth(t), ["image_id"], "det_id", "det_id", 0.1)
+    _, unmatched = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1)
     return unmatched.select("image_id", "det_id")
 
 
@@ -74,7 +70,7 @@ with votes as (select class_id, match_class, count(*) as n from (
 s as (select *, sum(n) over (partition by class_id) as total, row_number() over (partition by class_id order by n desc, match_class) as rk from votes)
 select class_id, match_class, cast(n as bigint) as n, {r6('100.0*n/total')} as percent from s where rk = 1""")
 def class_mapping_vote(t: Tables) -> DataFrame:
-    matched, _ = M.accepted_matches(t.candidate, _truth(t), ["image_id"], "det_id", "det_id", 0.1, keep=("class_id",))
+    matched, _ = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1, keep=("class_id",))
     best = matched.groupBy("image_id", "class_id").agg(
         F.max(F.struct("iou", (-F.col("det_id")).alias("neg"), F.col("match_class_id").alias("cls"))).alias("b"))
     votes = best.groupBy("class_id", F.col("b.cls").alias("match_class")).agg(F.count(F.lit(1)).alias("n"))
@@ -84,10 +80,8 @@ def class_mapping_vote(t: Tables) -> DataFrame:
 
 
 _ASSIGN = f"""
-with q0 as (select image_id, det_id, class_id, confidence, x1/1000 as x1, y1/1000 as y1, x2/1000 as x2, y2/1000 as y2,
-  row_number() over (partition by image_id order by confidence desc, det_id) - 1 as query_id from candidate),
-q as (select image_id, query_id, x1, y1, x2, y2, class_id, 6*confidence-3 as s from q0 where query_id < 8),
-g as (select image_id, det_id as target_id, class_id, x1/1000 as x1, y1/1000 as y1, x2/1000 as x2, y2/1000 as y2 from detections where det_id <= 3),
+with recursive q as (select image_id, det_id as query_id, x1/1000 as x1, y1/1000 as y1, x2/1000 as x2, y2/1000 as y2, class_id, 6*confidence-3 as s from candidate),
+g as (select image_id, det_id as target_id, class_id, x1/1000 as x1, y1/1000 as y1, x2/1000 as x2, y2/1000 as y2 from detections),
 p as (select a.image_id, a.query_id, b.target_id, 1/(1+exp(-(case when a.class_id=b.class_id then a.s else -a.s end))) as p,
   abs((a.x1+a.x2)/2-(b.x1+b.x2)/2)+abs((a.y1+a.y2)/2-(b.y1+b.y2)/2)+abs((a.x2-a.x1)-(b.x2-b.x1))+abs((a.y2-a.y1)-(b.y2-b.y1)) as l1,
   greatest(0,least(a.x2,b.x2)-greatest(a.x1,b.x1))*greatest(0,least(a.y2,b.y2)-greatest(a.y1,b.y1)) as inter,
@@ -100,11 +94,10 @@ c as (select image_id, query_id, target_id, 2*(0.25*pow(1-p,2)*(-ln(p+1e-8)) - 0
 
 def _cost_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     unit = [(F.col(c) / 1000).alias(c) for c in Box._fields]
-    ranked = top_k(t.candidate, ["image_id"], [F.col("confidence").desc(), F.col("det_id")], 8, rank="rk")
     score = 6 * F.col("confidence") - 3
     logits = F.array(*[F.when(F.col("class_id") == i, score).otherwise(-score) for i in range(4)])
-    queries = ranked.select("image_id", (F.col("rk") - 1).alias("query_id"), logits.alias("logits"), *unit)
-    targets = _truth(t).select("image_id", F.col("det_id").alias("target_id"), "class_id", *unit)
+    queries = t.candidate.select("image_id", F.col("det_id").alias("query_id"), logits.alias("logits"), *unit)
+    targets = t.detections.select("image_id", F.col("det_id").alias("target_id"), "class_id", *unit)
     return queries, targets
 
 
@@ -114,16 +107,14 @@ def matching_costs(t: Tables) -> DataFrame:
     return costs.select("image_id", "query_id", "target_id", (F.round("cost", 6) + F.lit(0.0)).alias("cost"))
 
 
-@query("J-07", _ASSIGN + f""", n as (select image_id, least(count(distinct query_id), count(distinct target_id)) as want from c group by 1),
-o as (select image_id, query_id, target_id, cost from c union all select image_id, cast(null as bigint), g, 0 from n, (select unnest([1,2,3]) as g)),
-combos as (select n.image_id, a.cost+b.cost+d.cost as total from n
-  join o a on a.image_id=n.image_id and a.target_id=1 join o b on b.image_id=n.image_id and b.target_id=2
-  join o d on d.image_id=n.image_id and d.target_id=3
-  where coalesce(a.query_id <> b.query_id, true) and coalesce(a.query_id <> d.query_id, true) and coalesce(b.query_id <> d.query_id, true)
-   and (a.query_id is not null)::int + (b.query_id is not null)::int + (d.query_id is not null)::int = want)
-select image_id, cast(max(want) as bigint) as n, {r6('min(total)')} as total_cost from combos join n using (image_id) group by 1""")
+@query("J-07", _ASSIGN + f""", e as materialized (select image_id, dense_rank() over (partition by image_id order by query_id) as k,
+  cast(1 as bigint) << (dense_rank() over (partition by image_id order by target_id) - 1) as bit, cost from c),
+n as (select image_id, max(k) as want from e group by 1),
+s as (select image_id, cast(0 as bigint) as k, cast(0 as bigint) as used, cast(0 as double) as total from n
+  union all select s.image_id, s.k+1, s.used | e.bit, min(s.total+e.cost) from s join e on e.image_id=s.image_id and e.k=s.k+1 and (s.used & e.bit) = 0 group by 1, 2, 3)
+select image_id, cast(k as bigint) as n, {r6('min(total)')} as total_cost from s join n using (image_id) where k = want group by 1, 2""")
 def assigned_targets(t: Tables) -> DataFrame:
-    """Least total cost of the 1:1 assignment; the check tries every combination."""
+    """Least total cost of the 1:1 assignment; the check keeps the cheapest way to every set of used targets (queries are never more than targets here)."""
     pairs = M.assign_targets(M.match_costs(*_cost_inputs(t), 2.0, 5.0, 2.0))
     return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("cost"), 6) + F.lit(0.0)).alias("total_cost"))
 
@@ -159,7 +150,7 @@ _GREEDY = f"""
 with recursive pr as (select image_id, class_id, det_id, x1, y1, x2, y2,
   cast(row_number() over (partition by image_id, class_id order by confidence desc, det_id) as int) as rk from candidate),
 pairs as materialized (select a.image_id, a.class_id, a.rk, b.det_id as gt_id, {_IOU} as iou
-  from pr a join detections b on a.image_id=b.image_id and a.class_id=b.class_id and b.det_id <= 3 and {_IOU} >= 0.5),
+  from pr a join detections b on a.image_id=b.image_id and a.class_id=b.class_id and {_IOU} >= 0.5),
 thr as (select unnest([0.5::double, 0.75::double]) as t),
 states as (
   select image_id, class_id, t, 0 as rk, cast([] as int[]) as taken, cast(null as int) as hit from (select distinct image_id, class_id from pairs), thr
@@ -175,5 +166,5 @@ from pr left join states s on s.image_id=pr.image_id and s.class_id=pr.class_id
 
 @query("J-06", _GREEDY)
 def exclusive_matches(t: Tables) -> DataFrame:
-    m = M.greedy_matches(t.candidate, _truth(t), thresholds=(0.5, 0.75))
+    m = M.greedy_matches(t.candidate, t.detections, thresholds=(0.5, 0.75))
     return m.select("image_id", "class_id", "det_id", F.get("tp", F.lit(0)).alias("tp50"), F.get("tp", F.lit(1)).alias("tp75"))

@@ -151,8 +151,8 @@ def artifact_types(t: Tables) -> DataFrame:
     name = F.expr("concat('detect-', case p_partkey%8 when 0 then 'fp16' when 1 then 'dynamic-int8' when 2 then 'static-int8' when 3 then 'dynamic' "
                   "when 4 then 'static' when 5 then 'int8' when 6 then 'fp16-int8' else 'base' end, '-', p_type, '.onnx')")
     files = t.raw("part").select(name.alias("name"))
-    marked = [files.filter(F.contains("name", F.lit(m))) for m in ("dynamic", "static", "int8", "fp16")]
-    listed = marked[0].union(marked[1]).union(marked[2]).union(marked[3]).distinct()
+    marked = [F.contains("name", F.lit(m)) for m in ("dynamic", "static", "int8", "fp16")]
+    listed = files.filter(marked[0] | marked[1] | marked[2] | marked[3]).distinct()
     return listed.select("name", text.artifact_type(F.col("name")).alias("kind")).orderBy("name")
 
 
@@ -168,9 +168,7 @@ select run_id, class, count(*) as n from metric_log where epoch%7 <> 0 and epoch
 def finite_metrics(t: Tables) -> DataFrame:
     """Rows whose metric is NaN or infinite are left out of the report."""
     v = F.expr("case when epoch%7=0 then double('NaN') when epoch%11=0 then double('Infinity') else value end")
-    log = t.metric_log.withColumn("value", v)
-    bad = S.non_finite(log, "value").select("run_id", "epoch", "class")
-    return log.join(bad, ["run_id", "epoch", "class"], "left_anti").groupBy("run_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    return S.finite(t.metric_log.withColumn("value", v), "value").groupBy("run_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F-01 D-05")
@@ -283,7 +281,7 @@ def split_disjointness(t: Tables) -> DataFrame:
     return S.split_check(parts, t.images, "image_id")
 
 
-@query("O-04")
+@query("O-04", "select image_id, path from images where cast(concat('0x', substr(md5(concat(cast(image_id as varchar), ':7:')), 1, 13)) as bigint) / 4503599627370496.0::double < 0.5")
 def sampled_images(t: Tables) -> DataFrame:
     """Sampling operator: repeatable half of the images by a seeded hash."""
     return S.sample_rows(t.images.select("image_id", "path"), "image_id", 0.5, seed=7)
