@@ -14,20 +14,30 @@ DIFFERENCES = ("max_absolute_diff", "mean_absolute_diff", "rmse", "relative_erro
 
 
 def pair_outputs(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Elements of two output tensors side by side; an element missing on one side stays with NULL there."""
-    return base.select("image_id", "pos", F.col("value").alias("base")).join(
-        other.select("image_id", "pos", F.col("value").alias("other")), ["image_id", "pos"], "full_outer")
+    """The flat output tensors (``values``) of two models side by side, one row per image; a missing one is NULL."""
+    return base.select("image_id", F.col("values").alias("base")).join(
+        other.select("image_id", F.col("values").alias("other")), "image_id", "full_outer")
 
 
 def output_differences(pairs: DataFrame) -> DataFrame:
-    """Difference metrics per image over paired elements; ``same_shape`` is false when an element has no partner."""
-    a, b = F.col("base"), F.col("other")
-    gap = F.abs(a - b)
-    return pairs.groupBy("image_id").agg(
-        F.max(gap).alias("max_absolute_diff"), F.avg(gap).alias("mean_absolute_diff"), F.sqrt(F.avg((a - b) * (a - b))).alias("rmse"),
-        F.max(gap / (F.abs(a) + 1e-8)).alias("relative_error"),
-        (F.sum(a * b) / (F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b)) + 1e-8)).alias("cosine_similarity"),
-        F.bool_and(a.isNotNull() & b.isNotNull()).alias("same_shape"),
+    """Difference metrics per image over paired elements; ``same_shape`` is false when an element has no partner.
+
+    Tensors stay arrays, so the join moves one row per image and the metrics need no grouping.
+    """
+    none = F.array().cast("array<double>")
+    elements = F.zip_with(F.coalesce("base", none), F.coalesce("other", none), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    zipped = pairs.select("image_id", elements.alias("_e"), (F.col("base").isNotNull() & F.col("other").isNotNull()).alias("_both"))
+    paired = lambda e: e["a"].isNotNull() & e["b"].isNotNull()
+    gap = lambda e: F.abs(e["a"] - e["b"])
+    total = lambda f: F.aggregate("_e", F.lit(0.0), lambda s, e: s + F.coalesce(f(e), F.lit(0.0)))
+    mean = lambda f: F.try_divide(total(f), F.size(F.filter("_e", paired)))
+    norm = lambda side: F.sqrt(total(lambda e: e[side] * e[side]))
+    return zipped.select(
+        "image_id", F.array_max(F.transform("_e", gap)).alias("max_absolute_diff"), mean(gap).alias("mean_absolute_diff"),
+        F.sqrt(mean(lambda e: (e["a"] - e["b"]) * (e["a"] - e["b"]))).alias("rmse"),
+        F.array_max(F.transform("_e", lambda e: gap(e) / (F.abs(e["a"]) + 1e-8))).alias("relative_error"),
+        (total(lambda e: e["a"] * e["b"]) / (norm("a") * norm("b") + 1e-8)).alias("cosine_similarity"),
+        (F.col("_both") & F.forall("_e", paired)).alias("same_shape"),
     )
 
 

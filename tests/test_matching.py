@@ -99,6 +99,16 @@ def test_greedy_limit(spark):
     assert out.groupBy("class_id").count().agg(F.max("count")).first()[0] == 5
 
 
+def test_greedy_with_more_truths_than_limit(spark):
+    rng = np.random.default_rng(8)
+    p, t = boxes(rng, 12, images=1, span=20, big=60), boxes(rng, 80, images=1, span=20, big=60)
+    p["class_id"] = t["class_id"] = np.int32(0)
+    t["iscrowd"] = np.int32(0)
+    got = {r.det_id: (r.tp[0], r.ignored[0]) for r in M.greedy_matches(spark.createDataFrame(p), spark.createDataFrame(t), (0.3,), max_dets=6).collect()}
+    best = p.sort_values(["confidence", "det_id"], ascending=[False, True]).head(6)
+    assert got == greedy(best, t, 0.3, "all")
+
+
 def test_best_match_prefers_first_on_ties(spark):
     base = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 50.0, 50.0, 60.0, 60.0)], "image_id int, det_id int, x1 double, y1 double, x2 double, y2 double")
     cand = spark.createDataFrame([(1, 7, 0.0, 0.0, 10.0, 5.0), (1, 3, 0.0, 5.0, 10.0, 10.0)], base.schema)
