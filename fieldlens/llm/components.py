@@ -44,6 +44,17 @@ def _mark(e: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
+def merged_components(label: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``label``, rows (node, component_id) as of ``connected_components``, after more links: only the components that these links touch are joined anew."""
+    for side in (a, b):
+        of = label.select(F.col("node").alias("__node"), F.col("component_id").alias("__component"))
+        links = links.join(of, F.col(side) == F.col("__node"), "left").withColumn(side, F.coalesce("__component", side)).drop("__node", "__component")
+    moved = connected_components(links, a, b)
+    to = moved.select(F.col("node").alias("__node"), F.col("component_id").alias("__component"))
+    kept = label.join(to, F.col("component_id") == F.col("__node"), "left").select("node", F.coalesce("__component", "component_id").alias("component_id"))
+    return written(kept.unionByName(moved), "components")
+
+
 def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = True, dense=None) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (a, b) among the rows (cid, token) of ``post``; they connect exactly what all verified pairs sharing a token connect.
 
@@ -88,7 +99,7 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = T
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
         if label is None or not new.isEmpty():
-            if step == rounds + across - 1:
+            if across and step == rounds:  # nobody asks for components after the last step
                 return found, None
-            label = connected_components(found, "a", "b")
+            label = connected_components(new, "a", "b") if label is None else merged_components(label, new, "a", "b")
     return found, label
