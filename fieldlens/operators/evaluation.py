@@ -13,7 +13,6 @@ from fieldlens.operators.decode import sigmoid
 from fieldlens.operators.matching import counting_truths, greedy_matches
 from fieldlens.operators.running import SLICE_COLUMNS, average_ranks, running_max, running_sums, split_slices, value_slices
 from fieldlens.schemas import IOU_THRESHOLDS, MAX_DETECTIONS, RECALL_POINTS
-from fieldlens.session import cut_lineage
 
 
 # ---- precision and recall ------------------------------------------------------------------------------------------
@@ -151,9 +150,9 @@ def evaluate_detections(
 ) -> tuple[DataFrame, DataFrame]:
     """(precision table, recall table) of predictions against ground truths.
 
-    The match table feeds several aggregates, so it is computed once and kept in the shared checkpoint folder.
+    Nothing runs while the tables are declared. The match table feeds several aggregates; within one query its shuffles are reused.
     """
-    matches = cut_lineage(greedy_matches(preds, truths, thresholds, areas, max_dets))
+    matches = greedy_matches(preds, truths, thresholds, areas, max_dets)
     counts = counting_truths(truths, areas)
     return precision_table(matches, counts, thresholds, preds), recall_by_limit(matches, counts, len(thresholds))
 

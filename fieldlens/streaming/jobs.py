@@ -140,19 +140,25 @@ class MetadataUpsert:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
 
 
-def metric_monitor(metrics: DataFrame, patience: int = 10, min_delta: float = 0.001, width: int = 20) -> DataFrame:
+def metric_monitor(
+    metrics: DataFrame, patience: int = 10, min_delta: float = 0.001, width: int = 20, watermark: str = "1 day", idle_ms: int = 7 * 86_400_000
+) -> DataFrame:
     """Per run: best value, epochs waited, mean of the last values, and ``improve`` / ``wait`` / ``stop`` per epoch.
 
-    Input run_id, epoch, value. Epochs must rise; a late epoch (not above the last one seen) is dropped. State per run
-    is the best value, a counter and the last ``width`` values.
+    Input run_id, epoch, value, ts. Epochs must rise; a late epoch (not above the last one seen) is dropped. State per run
+    is the best value, a counter and the last ``width`` values; it goes away once the watermark is ``idle_ms`` past the
+    last row of a run, which starts anew if it comes back. Rows later than the watermark are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         best, waited, recent, last = state.get if state.exists else (0.0, 0, "", -1)
         window = [float(v) for v in recent.split(",") if v]
         rows = []
-        arrived = pd.concat([b[["epoch", "value"]] for b in batches]).sort_values("epoch")  # one micro-batch of one run
-        for epoch, value in arrived.itertuples(index=False):
+        arrived = pd.concat([b[["epoch", "value", "ts"]] for b in batches]).sort_values("epoch")  # one micro-batch of one run
+        for epoch, value in arrived[["epoch", "value"]].itertuples(index=False):
             if epoch <= last:
                 continue
             last = int(epoch)
@@ -162,10 +168,13 @@ def metric_monitor(metrics: DataFrame, patience: int = 10, min_delta: float = 0.
             event = "improve" if better else ("stop" if waited >= patience else "wait")
             rows.append((key[0], last, float(value), best, waited, sum(window) / len(window), event))
         state.update((best, waited, ",".join(map(repr, window)), last))
+        newest = int(arrived.ts.astype("datetime64[us]").max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
             yield pd.DataFrame(rows, columns=["run_id", "epoch", "value", "best", "waited", "avg20", "event"])
 
-    return metrics.groupBy("run_id").applyInPandasWithState(step, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
+    return metrics.withWatermark("ts", watermark).groupBy("run_id").applyInPandasWithState(
+        step, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class ProgressLog(StreamingQueryListener):

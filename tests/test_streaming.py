@@ -81,18 +81,35 @@ def test_stage_join(spark, event_stream, tmp_path):
     assert out.count() == want > 0
 
 
+_METRICS = "run_id string, epoch int, value double, ts timestamp"
+
+
 def test_metric_monitor(spark, tmp_path):
     folder = str(tmp_path / "m")
     values = [0.5, 0.6, 0.59, 0.6005, 0.4, 0.7]
+    at = dt.datetime(2024, 1, 1)
     for i in range(2):
-        rows = [("r", e, values[e]) for e in range(i * 3, i * 3 + 3)] + ([("r", 0, 0.99)] if i else [])  # a late epoch
-        spark.createDataFrame(rows, "run_id string, epoch int, value double").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("run_id string, epoch int, value double").option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = [("r", e, values[e], at) for e in range(i * 3, i * 3 + 3)] + ([("r", 0, 0.99, at)] if i else [])  # a late epoch
+        spark.createDataFrame(rows, _METRICS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(_METRICS).option("maxFilesPerTrigger", 1).parquet(folder)
     out = J.run_to_memory(J.metric_monitor(stream, patience=3, width=2), "t_monitor", "append", str(tmp_path / "cp")).orderBy("epoch").collect()
     assert [r.event for r in out] == ["improve", "improve", "wait", "wait", "stop", "improve"]
     assert [r.waited for r in out] == [0, 0, 1, 2, 3, 0] and abs(out[3].avg20 - (0.59 + 0.6005) / 2) < 1e-12
 
 
+def test_metric_monitor_forgets_idle_runs(spark, tmp_path):
+    """State of a run that was silent for too long is gone: the epoch it had reached no longer holds back lower ones."""
+    folder, cp = str(tmp_path / "m"), str(tmp_path / "cp")
+    seen = []
+    for run, day in (("r", 1), ("r", 2), ("other", 25), ("r", 25)):
+        spark.createDataFrame([(run, 1, 0.5, dt.datetime(2024, 1, day))], _METRICS).coalesce(1).write.mode("append").parquet(folder)
+        out = J.metric_monitor(spark.readStream.schema(_METRICS).parquet(folder))
+        q = out.writeStream.outputMode("append").foreachBatch(lambda b, _: seen.extend((r.run_id, r.event) for r in b.collect())).option(
+            "checkpointLocation", cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    assert seen == [("r", "improve"), ("other", "improve"), ("r", "improve")]
+
+
 def test_upsert_sink(spark, tmp_path):
     sink = J.MetadataUpsert(str(tmp_path / "meta"))
     schema = "image_id int, ts timestamp, detect string, quality string"
