@@ -109,3 +109,21 @@ def test_dedup_lines_texts(spark):
     assert got == {(1, "A first line of the text.\n\nShort", 1), (2, "Own words here", 2), (None, None, None), (4, "", 4), (5, "\n \n", 5), (6, long, 6)}
     assert dedup_lines(df.where("false")).columns == ["doc_id", "text", "kept"]
     assert dedup_lines(df.where("false")).count() == 0
+
+
+def _line_pairs(spark, pairs):
+    """How many of the pairs of lines, each line a document of its own, stay apart."""
+    rows = [(2 * i + s, t) for i, p in enumerate(pairs) for s, t in enumerate(p)]
+    first = {r.doc_id: r.first_doc_id for r in line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    return sum(first[2 * i] != first[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_long_lines_without_spaces_are_linked(spark):
+    """Rows that differ only in a leading id, and rows that all begin alike: similarity 0.97 and 0.96."""
+    rng = random.Random(11)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz/-_") for _ in range(n))
+    tails = ["," + ",".join(number(5) for _ in range(50)) for _ in range(60)]
+    assert _line_pairs(spark, [(number(8) + t, number(8) + t) for t in tails]) == 0
+    urls = ["https://" + name(266) for _ in range(60)]
+    assert _line_pairs(spark, [(u + name(5), u + name(5)) for u in urls]) == 0
