@@ -127,3 +127,7 @@ def test_long_lines_without_spaces_are_linked(spark):
     assert _line_pairs(spark, [(number(8) + t, number(8) + t) for t in tails]) == 0
     urls = ["https://" + name(266) for _ in range(60)]
     assert _line_pairs(spark, [(u + name(5), u + name(5)) for u in urls]) == 0
+
+
+def test_repeating_lines_of_unlike_lengths_are_linked(spark):
+    assert _line_pairs(spark, [("-" * 120, "-" * 200), ("buy now " * 14, "buy now " * 25), ("-=" * 30, "-=" * 3000)]) == 0
