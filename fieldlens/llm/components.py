@@ -93,9 +93,11 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = T
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if step < rounds:  # no list spans two components
+            if step == rounds:
+                return found, None
+            if split.isEmpty():  # no list spans two components
                 break
-            return found, None
+            continue  # the leaders' pairs were tested in an earlier round; other members may still be apart
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
         if label is None or not new.isEmpty():

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldlens.llm import components, minhash
 from fieldlens.llm.lines import dedup_lines, line_decisions
@@ -139,3 +140,14 @@ def test_short_pairs_share_a_band_as_often_as_stated(spark):
     text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
     bases = [text(20, "abcdefghijklmnopqrstuvwxyz") for _ in range(1000)]
     assert _line_pairs(spark, [(b + text(2, "ABCDE"), b + text(2, "VWXYZ")) for b in bases]) <= 8
+
+
+def test_members_meet_when_two_rounds_have_the_same_leader(spark):
+    """One list {x, y, z}; x leads both star rounds, only y and z are alike."""
+    ids = spark.range(200).select("id", *[F.xxhash64(F.lit(step), F.col("id")).alias(f"h{step}") for step in (0, 1)]).collect()
+    x = min(ids, key=lambda r: r.h0)
+    y, z = [r.id for r in ids if r.h1 > x.h1 and r.id != x.id][:2]
+    post = spark.createDataFrame([(i, 1) for i in (x.id, y, z)], "cid bigint, token bigint")
+    alike = lambda pairs: pairs.where(F.col("a").isin(y, z) & F.col("b").isin(y, z))
+    found, _ = components.linked_postings(post, alike, rounds=2)
+    assert found is not None and [(r.a, r.b) for r in found.collect()] == [(min(y, z), max(y, z))]
