@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.llm import components, minhash
+from fieldlens.llm import components, lines, minhash
 from fieldlens.llm.lines import dedup_lines, line_decisions
 from fieldlens.llm.minhash import Shingler, near_duplicates
 from fieldlens.session import ship_package
@@ -151,3 +151,18 @@ def test_members_meet_when_two_rounds_have_the_same_leader(spark):
     alike = lambda pairs: pairs.where(F.col("a").isin(y, z) & F.col("b").isin(y, z))
     found, _ = components.linked_postings(post, alike, rounds=2)
     assert found is not None and [(r.a, r.b) for r in found.collect()] == [(min(y, z), max(y, z))]
+
+
+@pytest.mark.parametrize("long", [64, 20])
+def test_alike_lines_in_a_list_of_unlike_lines_are_linked(spark, monkeypatch, long):
+    """A shared sentence and 16 own characters (similarity 0.72), each line with one copy at 0.90: pairs and blocks lose none."""
+    monkeypatch.setattr(components, "LONG", long)
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    rng = random.Random(17)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    sentence = "Terms of this notice hold for every reader of the page and all of its parts, see the annex for more, reference "
+    pairs = []
+    for _ in range(300):
+        t = sentence + own(16)
+        pairs.append((t, t[:-6] + own(6)))
+    assert _line_pairs(spark, pairs) == 0
