@@ -55,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash", minhash), ("packing", packing)]
 
-#: The classifiers are fitted by gradient steps, which SQL can't express; tests hold every stage against its operator's brute force.
+#: The classifiers are fitted by gradient steps, which SQL can't express; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
