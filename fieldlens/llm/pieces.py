@@ -44,6 +44,10 @@ class PieceCache:
         young.update(zip(new, self.encode([space + p for p in new])))
         return young
 
+    def of(self, pieces: set[str]) -> dict:
+        """Encodings of these pieces and maybe of others; every piece has one space in front."""
+        return self._learn(" ", pieces)
+
     def lookup(self, texts: list[str]) -> list[tuple[object, list]]:
         """Encodings of the first piece and of the later pieces of each text."""
         cuts = [cut(t) for t in texts]
