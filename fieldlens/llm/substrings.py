@@ -12,7 +12,7 @@ from fieldlens.llm.store import documents
 from fieldlens.llm.words import WordHashes
 
 WINDOW = 20
-PART_BYTES = 16_000_000  # text of one part, about
+PART_BYTES = 8_000_000  # text of one part, about
 SAMPLES = 32  # sampled keys for each part boundary; they balance parts and change no result
 MOST_SAMPLES = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd: invertible modulo 2**64
@@ -38,17 +38,18 @@ def rolling_hashes(words: np.ndarray, window: int, base: int) -> np.ndarray:
 
 
 class Part:
-    """Rows of one part in corpus order: their words, and the hash and start of every window."""
+    """Rows of one part in corpus order, and the hash and start of every window; words are held for one row at a time."""
 
     def __init__(self, rows: pa.Table, window: int, hashes: WordHashes):
         ids, ties, texts = (rows.column(c).to_pylist() for c in ("doc_id", "tie", "text"))
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.order = sorted(range(len(raw)), key=lambda i: (ids[i] is None, ids[i] or 0, ties[i], raw[i]))
         self.ids = [ids[i] for i in self.order]
-        self.words = [raw[i].split() for i in self.order]
-        sizes = np.array([len(w) for w in self.words], "i8")
+        self.raw = [raw[i] for i in self.order]
+        by_row = [hashes(r.split()) for r in self.raw]
+        sizes = np.array([len(h) for h in by_row], "i8")
         self.ends = np.cumsum(sizes)
-        flat = np.concatenate([hashes(w) for w in self.words]) if len(raw) else np.zeros(0, "u8")
+        flat = np.concatenate(by_row) if len(raw) else np.zeros(0, "u8")
         left = np.repeat(self.ends, sizes) - np.arange(len(flat))  # words from here to the end of the row
         self.starts = np.flatnonzero(left >= window)
         self.hash = rolling_hashes(flat, window, _BASES[0])[self.starts]
@@ -144,7 +145,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PAR
         change[part.starts[repeated] + window] -= 1
         gone = np.cumsum(change)[:-1] > 0
         out: list[list] = [[] for _ in range(5)]
-        for doc_id, words, end in zip(part.ids, part.words, part.ends):
+        for doc_id, raw, end in zip(part.ids, part.raw, part.ends):
+            words = raw.split()
             here = gone[end - len(words):end]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], here.view("i1"), [0]])))
             kept = [w for w, g in zip(words, here.tolist()) if not g] if len(edges) else words
