@@ -21,7 +21,7 @@ from fieldlens.llm.store import documents, written
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORK = 16_384  # token ends of one piece of the merge
-_PIECES = 150_000  # distinct text pieces of one cache generation
+_PIECES = 250_000  # distinct text pieces of one cache generation
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +109,7 @@ class Aligner:
             raise ValueError(f"pieces hold a space behind a character that is none: {crossing[:3]}")
         self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), "i8") for t in (self.bytes_a, self.bytes_b))
         self.width, self.space = len(self.bytes_b), self.b.piece_to_id("▁")
+        self.names = list(map(str, range(max(self.width, len(self.bytes_a)))))
         self.cache = PieceCache(self._align, _PIECES)
 
     @staticmethod
@@ -116,7 +117,7 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
     def _align(self, pieces: list[str]):
-        """Of each piece (with its space): (tokens of a, of b, groups, links as a * width + b, groups as text), None where a tokenizer changes bytes."""
+        """Of each piece (with its space): (tokens of a, of b, groups, links, links as 64-bit a * width + b, groups as text), None where a tokenizer changes bytes."""
         a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         b = self.b.encode([p[1:] for p in pieces], num_threads=1)
         b = [ids if p != " " else [self.space] for p, ids in zip(pieces, b)]  # the library gives an empty text no tokens
@@ -128,34 +129,35 @@ class Aligner:
         na, nb = (np.array([len(t[k]) for k in good], "i8") for t in (a, b))
         ids_a, ids_b = (np.fromiter(chain.from_iterable(t[k] for k in good), "i8", n.sum()) for t, n in ((a, na), (b, nb)))
         at, of, closes = overlaps(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
-        links = ids_a[at] * self.width + ids_b[of]
-        ends = np.searchsorted(at, np.cumsum(na))  # links of each piece end where its last token of a ends
+        last_a, last_b = np.cumsum(na), np.cumsum(nb)
+        ends = np.searchsorted(at, last_a)  # links of each piece end where its last token of a ends
+        links = (ids_a[at] * self.width + ids_b[of]).tobytes()
+        to_a, to_b = at[closes] + 1, of[closes] + 1  # tokens before the end of each group
+        names_a, names_b = (list(map(self.names.__getitem__, ids.tolist())) for ids in (ids_a, ids_b))
+        some = lambda names, i, j: names[i] if j - i == 1 else ",".join(names[i:j])
+        groups = [f"{some(names_a, i, j)}|{some(names_b, p, q)}"
+                  for i, j, p, q in zip([0, *to_a.tolist()], to_a.tolist(), [0, *to_b.tolist()], to_b.tolist())]
         out: list = [None] * len(pieces)
-        start, at, of, closes, from_a, from_b = 0, at.tolist(), of.tolist(), closes.tolist(), 0, 0
-        for k, n, m, end in zip(good, na.tolist(), nb.tolist(), ends.tolist()):
-            x, y, i, j, groups = a[k], b[k], 0, 0, []
-            for t in range(start, end):
-                if closes[t]:
-                    p, q = at[t] + 1 - from_a, of[t] + 1 - from_b
-                    groups.append(f"{','.join(map(str, x[i:p]))}|{','.join(map(str, y[j:q]))}")
-                    i, j = p, q
-            out[k] = (n, m, len(groups), links[start:end], ";".join(groups).encode())
-            start, from_a, from_b = end, from_a + n, from_b + m
+        start = first = 0
+        for k, n, m, end, group in zip(good, na.tolist(), nb.tolist(), ends.tolist(), np.searchsorted(to_a, last_a, "right").tolist()):
+            out[k] = (n, m, group - first, end - start, links[8 * start:8 * end], ";".join(groups[first:group]).encode())
+            start, first = end, group
         return out
 
     def texts(self, texts: list[str]):
         """For a list of texts: per text counts (n_a, n_b, n_groups, n_links), its groups as text, and all links with the number of their text."""
         cuts = [([h[1:], *t] if h else t) if text else [] for text in texts for h, t in (cut(" " + text),)]
-        known = self.cache.of(set(chain.from_iterable(cuts)))
-        number: dict[str, int] = {}
-        for c in cuts:
-            for p in c:
-                number.setdefault(p, len(number))
-        got = [known[p] for p in number]
+        distinct = set(chain.from_iterable(cuts))
+        known = self.cache.of(distinct)
+        number = dict(zip(distinct, range(len(distinct))))
+        none = (0, 0, 0, 0, b"", b"")
+        found = [known[p] for p in distinct]
+        bad = np.array([g is None for g in found], bool)
+        got = [g or none for g in found]
         blank = np.zeros(0, "i8")
-        counts = np.array([(g[0], g[1], g[2], len(g[3])) if g else (0, 0, 0, 0) for g in got], "i8").reshape(-1, 4)
-        bad = np.array([g is None for g in got], bool)
-        flat = np.concatenate([g[3] if g else blank for g in got]) if got else blank
+        counts = np.array([g[:4] for g in got], "i8").reshape(-1, 4)
+        flat = np.frombuffer(b"".join([g[4] for g in got]), "i8")
+        groups = [g[5] for g in got]
         first = np.cumsum(counts[:, 3]) - counts[:, 3]
         totals, named, used = np.zeros((len(texts), 4), "i8"), [], []
         for k, c in enumerate(cuts):
@@ -166,7 +168,7 @@ class Aligner:
                 continue
             used.append(ids)
             totals[k] = counts[ids].sum(axis=0)
-            named.append(b";".join([got[i][4] for i in ids.tolist()]))
+            named.append(b";".join(map(groups.__getitem__, ids.tolist())))
         ids = np.concatenate(used) if used else blank
         n = counts[ids, 3]
         place = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
