@@ -100,8 +100,8 @@ def linked_postings(post: DataFrame, verified, rounds: int = 2, across: bool = T
             continue  # the leaders' pairs were tested in an earlier round; other members may still be apart
         new = written(verified(pairs), "links")
         found, tested = (new, pairs) if found is None else (found.unionByName(new), tested.unionByName(pairs))
+        if step == rounds:  # links of long lists are in found, not in the label; nobody asks for components after the last step
+            return found, None
         if label is None or not new.isEmpty():
-            if across and step == rounds:  # nobody asks for components after the last step
-                return found, None
             label = connected_components(new, "a", "b") if label is None else merged_components(label, new, "a", "b")
     return found, label
