@@ -166,3 +166,35 @@ def test_alike_lines_in_a_list_of_unlike_lines_are_linked(spark, monkeypatch, lo
         t = sentence + own(16)
         pairs.append((t, t[:-6] + own(6)))
     assert _line_pairs(spark, pairs) == 0
+
+
+def test_links_of_long_lists_stay_when_the_last_pair_step_finds_none(spark):
+    """One list of 70 with a linked pair that only blocks meet, one of 10 unlike members."""
+    post = spark.createDataFrame([(i, 1) for i in range(70)] + [(i, 2) for i in range(100, 110)], "cid bigint, token bigint")
+    none = lambda pairs: pairs.where("false")
+    dense = lambda rows: rows.where("cid in (3, 5)").groupBy().agg(F.min("cid").alias("a"), F.max("cid").alias("b"))
+    found, label = components.linked_postings(post, none, rounds=1, dense=dense)
+    assert label is None and [(r.a, r.b) for r in found.collect()] == [(3, 5)]
+
+
+def test_copies_in_a_long_list_are_linked_beside_short_lists(spark):
+    """203 lines of one sentence and own characters, three of them copies at 0.90, beside twelve lines of another sentence and one near pair."""
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    first = "Terms of this notice hold for every reader of the page and all of its parts, see the annex for more reference: "[:111]
+    second = "Nothing written here binds the printer of the almanac nor any of the editors, whoever holds the pen in the end"
+    base = [first + own(16) for _ in range(200)]
+    texts = base + [t[:-6] + own(6) for t in base[:3]] + [second + own(16) for _ in range(12)] + ["a near pair of lines, number one of two", "a near pair of lines, number one of twO"]
+    got = {r.doc_id: r.first_doc_id for r in line_decisions(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[200 + i] for i in range(3)] == [got[i] for i in range(3)] and got[216] == got[215]
+
+
+def test_equal_coordinates(spark):
+    rng = random.Random(3)
+    rows = [tuple(rng.getrandbits(31) for _ in range(96)) for _ in range(50)]
+    rows += [r[:48] + r[:40] + r[88:] for r in rows]
+    df = spark.createDataFrame(rows, ", ".join(f"m{i} bigint" for i in range(96)))
+    side = lambda k: df.select(*[F.col(f"m{k + i}").alias(f"m{i}") for i in range(48)], F.monotonically_increasing_id().alias("id")).select("id", lines._sketch(48).alias(f"s{k}"))
+    got = side(0).join(side(48), "id").orderBy("id").select(lines._equal_coordinates(F.col("s0"), F.col("s48"), 48).alias("n")).collect()
+    assert [r.n for r in got] == [sum((a >> 8 & 15) == (b >> 8 & 15) for a, b in zip(r[:48], r[48:])) for r in rows]
+    assert 20 < lines.least_equal(48, 0.8) < 28
