@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.operators.running import row_numbers, running_max, running_sums, trailing_windows
+from fieldlens.operators.scan import improving_rows
 
 
 def _epochs(epoch: str) -> list[Column]:
@@ -53,33 +53,11 @@ def early_stop_trace(
 ) -> DataFrame:
     """Per epoch the best value so far, epochs since the last improvement, and whether patience ran out.
 
-    An improvement must beat the best by more than ``min_delta``; the best starts at 0. Only new maxima can be
-    improvements, so distributed running maxima pick those rows first, and just these few go, sorted, through an
-    order-dependent fold that streams over Arrow batches and holds one value per run.
+    An improvement must beat the best by more than ``min_delta``; the best starts at 0; NULL and NaN never improve. The improvements come from
+    a parallel scan (``scan.improving_rows``), so a run that holds most of the log is spread over its slices.
     """
     group = list(group)
-    before = running_max(log, group, _epochs(epoch), [F.col(epoch)], {"_max": F.col(value)})
-    numbered = row_numbers(before, group, _epochs(epoch), [F.col(epoch)], "_no")
-    earlier = numbered.select(*group, (F.col("_no") + 1).alias("_no"), F.col("_max").alias("_prev"))
-    maxima = numbered.join(earlier, [*group, "_no"], "left").filter(
-        (F.col(value) > F.coalesce("_prev", F.lit(float("-inf")))) & (F.col(value) > min_delta))
-    sorted_maxima = maxima.select(*group, "_no", F.col(value).alias("_v")).repartition(*group).sortWithinPartitions(*group, "_no")
-
-    def improvements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, best = None, 0.0
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                key = tuple(row[:-2])
-                if key != run:
-                    run, best = key, 0.0
-                keep.append(row[-1] > best + min_delta)
-                if keep[-1]:
-                    best = row[-1]
-            yield batch[keep]
-
-    schema = sorted_maxima.schema
-    better = sorted_maxima.mapInPandas(improvements, schema).withColumnRenamed("_v", "_best")
+    better = improving_rows(log, group, epoch, value, min_delta)
     marked = row_numbers(log, group, _epochs(epoch), [F.col(epoch)], "_no").join(better, [*group, "_no"], "left")
     traced = running_max(marked, group, _epochs(epoch), [F.col(epoch)], {
         "best": F.col("_best"), "_last": F.when(F.col("_best").isNotNull(), F.col("_no"))})

@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +214,63 @@ def test_early_stop_ignores_small_gains(spark):
     assert [r.best for r in trace] == [0.5, 0.5, 0.502, 0.502, 0.502, 0.502, 0.502, 0.502]  # 0.503 is not above 0.502 + 0.001
     assert [r.waited for r in trace] == [0, 1, 0, 1, 2, 3, 4, 5]
     assert L.stop_epoch(L.early_stop_trace(log, ["run"], patience=3), ["run"]).first().stop_epoch == 5
+
+
+def _fold(values, step):
+    best, out = 0.0, []
+    for i, v in enumerate(values):
+        if v is not None and v > best + step:
+            best = v
+            out.append((i + 1, v))
+    return out
+
+
+@pytest.mark.parametrize("step", [0.0, 0.004, 0.3])
+def test_improvements_by_parallel_scan_equal_the_fold(spark, step):
+    """Small slices and fan-in, so that one run with a third of the log crosses several levels of the tree."""
+    from fieldlens.operators.scan import improving_rows
+
+    rng = random.Random(5)
+    runs = {"rising": [i / 400 for i in range(400)], "noisy": [min(1.0, i / 300 + rng.gauss(0, 0.05)) for i in range(300)],
+            "falling": [1 - i / 50 for i in range(50)], "odd": [None, float("nan"), 0.2, None, 0.2, 0.21, float("nan"), 0.6], "never": [-1.0, 0.0, 0.0]}
+    rows = [(r, i, v) for r, vs in runs.items() for i, v in enumerate(vs)]
+    log = spark.createDataFrame(rows, "run string, epoch int, value double")
+    got = improving_rows(log, ["run"], "epoch", "value", step, slice_rows=8, fan_in=3)
+    clean = lambda vs: [None if v is None or v != v else v for v in vs]
+    want = sorted((r, *p) for r, vs in runs.items() for p in _fold(clean(vs), step))
+    assert sorted(map(tuple, got.collect())) == want
+    assert improving_rows(log.where("false"), ["run"], "epoch", "value", step).count() == 0
+    one = improving_rows(log.where("run = 'noisy'").drop("run"), [], "epoch", "value", step, slice_rows=16, fan_in=2)
+    assert sorted(map(tuple, one.collect())) == _fold(runs["noisy"], step)
+
+
+def test_roi_mean_equals_sampling(spark):
+    from fieldlens.functions import kernels
+
+    rng = random.Random(9)
+    side, n = 20, 8
+    rows = []
+    for i in range(200):
+        x, y = rng.uniform(-20, 90), rng.uniform(-20, 60)
+        rows.append(([rng.random() for _ in range(side * side)], x, y, x + rng.uniform(-5, 60), y + rng.uniform(0, 60), 100, 80))
+    rows += [(None, 0.0, 0.0, 1.0, 1.0, 100, 80), (rows[0][0], None, 0.0, 1.0, 1.0, 100, 80)]
+
+    def plain(g, x1, y1, x2, y2, w, h):
+        if g is None or x1 is None:
+            return None
+        x0, y0 = max(x1, 0), max(y1, 0)
+        bw, bh = max(min(x2, w) - x0, 1), max(min(y2, h) - y0, 1)
+        total = 0.0
+        for sy in range(n):
+            for sx in range(n):
+                u = min(max((x0 + (sx + 0.5) / n * bw) / w * side, 0), side - 0.001)
+                v = min(max((y0 + (sy + 0.5) / n * bh) / h * side, 0), side - 0.001)
+                i, j = int(u), int(v)
+                at = lambda r, c: g[min(r, side - 1) * side + min(c, side - 1)]
+                total += ((at(j, i) * (1 - u + i) + at(j, i + 1) * (u - i)) * (1 - v + j) + (at(j + 1, i) * (1 - u + i) + at(j + 1, i + 1) * (u - i)) * (v - j))
+        return total / n / n
+
+    df = spark.createDataFrame(rows, "g array<double>, x1 double, y1 double, x2 double, y2 double, w int, h int")
+    got = [r.m for r in df.select(kernels.roi_mean(side)("g", "x1", "y1", "x2", "y2", "w", "h").alias("m")).collect()]
+    for a, b in zip(got, [plain(*r) for r in rows]):
+        assert (a is None and b is None) or abs(a - b) < 1e-12
