@@ -176,19 +176,29 @@ def focal_class_cost(p: Column, alpha: float = 0.25, gamma: float = 2.0) -> Colu
 
 def match_costs(
     queries: DataFrame, targets: DataFrame, class_weight: float = 1.0, box_weight: float = 1.0, giou_weight: float = 1.0,
+    keep: Sequence[str] = (), block: int | None = None,
 ) -> DataFrame:
     """Cost of every (query, target) of an image: class + L1 of centre boxes - generalised IoU.
 
     ``queries``: image_id, query_id, logits (array over classes), x1..y2 in units of the image. ``targets``: image_id,
-    target_id, class_id, x1..y2.
+    target_id, class_id, x1..y2. ``keep`` names query columns to carry, such as the query group. With ``block`` the targets of
+    an image are dealt into blocks of about that many, each a join key of its own that all queries of the image visit, so a
+    crowded image is spread over many tasks.
     """
+    on = ["image_id"]
     t = targets.select("image_id", "target_id", "class_id", *[F.col(c).alias(f"{c}_b") for c in _BOX])
-    pairs = queries.join(t, "image_id")
+    if block:
+        blocks = targets.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+        t = t.join(blocks, "image_id").withColumn("_block", F.pmod(F.xxhash64("target_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+        visits = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        queries = queries.join(blocks, "image_id").withColumn("_block", visits).drop("_blocks")
+        on.append("_block")
+    pairs = queries.join(t, on)
     a, b = Box.of(), Box.of(suffix="_b")
     l1 = sum((F.abs(p - q) for p, q in zip(G.center_from_corners(a), G.center_from_corners(b))), F.lit(0.0))
     prob = sigmoid(F.get("logits", F.col("class_id")))
     cost = class_weight * focal_class_cost(prob) + box_weight * l1 - giou_weight * G.generalized_iou(a, b)
-    return pairs.select("image_id", "query_id", "target_id", cost.alias("cost"))
+    return pairs.select("image_id", *keep, "query_id", "target_id", cost.alias("cost"))
 
 
 def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,31 +236,51 @@ def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
-def assign_targets(costs: DataFrame) -> DataFrame:
-    """Minimum-cost 1:1 assignment per image over ``match_costs`` rows.
+def assign_targets(costs: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Minimum-cost 1:1 assignment per problem (equal ``by`` columns, whole numbers) over ``match_costs`` rows.
 
-    An image with n queries needs only the n cheapest targets of each query, since the others can take at most n - 1; so
-    a task holds n x n costs however many targets there are.
+    Every query of a problem gets a target, or every target a query if there are fewer targets. A problem with n queries and m targets needs, of
+    the smaller side, only the min(n, m) cheapest partners of each, since the others can take at most one less; so a task holds
+    min(n, m)^2 costs however many there are on the other side.
     """
-    sizes = costs.groupBy("image_id").agg(F.count_distinct("query_id").alias("_n"))
-    cheapest = F.row_number().over(Window.partitionBy("image_id", "query_id").orderBy("cost", "target_id"))
-    needed = costs.join(sizes, "image_id").withColumn("_r", cheapest).filter("_r <= _n").select("image_id", "query_id", "target_id", "cost")
-    grouped = needed.groupBy("image_id").agg(F.collect_list(F.struct("query_id", "target_id", "cost")).alias("c"))
-    flat = grouped.select("image_id", F.col("c.query_id").alias("q"), F.col("c.target_id").alias("t"), F.col("c.cost").alias("cost"))
+    by = list(by)
+    kinds = dict(costs.dtypes)
+    sides = costs.groupBy(*by, "query_id").agg(F.count(F.lit(1)).alias("_m")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_m"))
+    sized = costs.join(sides, by)
+    few = F.when(F.col("_n") <= F.col("_m"), F.struct(F.col("query_id").cast("bigint").alias("a"), F.col("target_id").cast("bigint").alias("b"))).otherwise(
+        F.struct(F.col("target_id").cast("bigint").alias("a"), F.col("query_id").cast("bigint").alias("b")))
+    own = sized.select(*by, "query_id", "target_id", "cost", few.alias("_f"), F.least("_n", "_m").alias("_k")).select("*", F.col("_f.a").alias("_a"))
+    cheapest = F.row_number().over(Window.partitionBy(*by, "_a").orderBy("cost", "_f.b"))
+    needed = own.withColumn("_r", cheapest).filter("_r <= _k").select(*by, "query_id", "target_id", "cost")
+    grouped = needed.groupBy(*by).agg(F.collect_list(F.struct("query_id", "target_id", "cost")).alias("c"))
+    flat = grouped.select(*by, F.col("c.query_id").alias("q"), F.col("c.target_id").alias("t"), F.col("c.cost").alias("cost"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, qs, ts, cs = [], [], [], []
-            for image_id, q, t, c in zip(batch.image_id, batch.q, batch.t, batch.cost):
+            keys, qs, ts, cs = [], [], [], []
+            for i, (q, t, c) in enumerate(zip(batch.q, batch.t, batch.cost)):
                 q_ids, qi = np.unique(q, return_inverse=True)
                 t_ids, ti = np.unique(t, return_inverse=True)
                 matrix = np.full((len(q_ids), len(t_ids)), 1e12)
                 matrix[qi, ti] = c
                 rows, cols = _assign(matrix)
-                ids.append(np.full(len(rows), image_id))
+                keys.append(np.full(len(rows), i))
                 qs.append(q_ids[rows]), ts.append(t_ids[cols]), cs.append(matrix[rows, cols])
-            if ids:
-                yield pd.DataFrame({"image_id": np.concatenate(ids), "query_id": np.concatenate(qs),
+            if keys:
+                at = np.concatenate(keys)
+                yield pd.DataFrame({**{c: batch[c].to_numpy()[at] for c in by}, "query_id": np.concatenate(qs),
                                     "target_id": np.concatenate(ts), "cost": np.concatenate(cs)})
 
-    return flat.mapInPandas(solve, "image_id bigint, query_id int, target_id int, cost double")
+    columns = ", ".join(f"{c} {kinds[c]}" for c in (*by, "query_id", "target_id"))
+    return flat.mapInPandas(solve, f"{columns}, cost double")
+
+
+def assign_query_groups(queries: DataFrame, targets: DataFrame, group: str = "query_group", block: int = 512, **weights: float) -> DataFrame:
+    """Assignment of the targets of an image to each of its query groups alone: every group sees all targets.
+
+    Rows (image_id, group, query_id, target_id, cost). Queries of a group number the fewer or the more; an image without targets, or
+    without queries, has no rows.
+    """
+    costs = match_costs(queries, targets, keep=[group], block=block, **weights)
+    return assign_targets(costs, ["image_id", group])

@@ -119,6 +119,21 @@ def assigned_targets(t: Tables) -> DataFrame:
     return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("cost"), 6) + F.lit(0.0)).alias("total_cost"))
 
 
+@query("J-07", _ASSIGN + f""", e as materialized (select image_id, query_id % 2 as query_group, dense_rank() over (partition by image_id, query_id % 2 order by query_id) as k,
+  cast(1 as bigint) << (dense_rank() over (partition by image_id, query_id % 2 order by target_id) - 1) as bit, cost from c),
+n as (select image_id, query_group, max(k) as want from e group by 1, 2),
+s as (select image_id, query_group, cast(0 as bigint) as k, cast(0 as bigint) as used, cast(0 as double) as total from n
+  union all select s.image_id, s.query_group, s.k+1, s.used | e.bit, min(s.total+e.cost) from s join e on e.image_id=s.image_id and e.query_group=s.query_group
+    and e.k=s.k+1 and (s.used & e.bit) = 0 group by 1, 2, 3, 4)
+select image_id, cast(query_group as int) as query_group, cast(k as bigint) as n, {r6('min(total)')} as total_cost from s join n using (image_id, query_group) where k = want group by 1, 2, 3""")
+def assigned_query_groups(t: Tables) -> DataFrame:
+    """Each half of an image's queries is a group with an assignment of its own to all targets."""
+    queries, targets = _cost_inputs(t)
+    grouped = queries.withColumn("query_group", (F.col("query_id") % 2).cast("int"))
+    pairs = M.assign_query_groups(grouped, targets, class_weight=2.0, box_weight=5.0, giou_weight=2.0)
+    return pairs.groupBy("image_id", "query_group").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("cost"), 6) + F.lit(0.0)).alias("total_cost"))
+
+
 @query("J-08", "select image_id, det_id from detections where image_id in (select image_id from images where source_type = 'file')")
 def annotations_of_split(t: Tables) -> DataFrame:
     chosen = t.images.filter("source_type = 'file'").select("image_id")

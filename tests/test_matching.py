@@ -135,3 +135,25 @@ def test_match_costs_keep_every_pair(spark):
     costs = M.match_costs(q, t)
     assert costs.count() == 400
     assert [(r.query_id, r.target_id) for r in M.assign_targets(costs).collect()] == [(400, 0)]
+
+
+def test_query_groups_with_a_crowded_image(spark):
+    """Image 1 has more targets than queries in one group and fewer in the other; blocks of 4 spread its pairs over join keys."""
+    rng = np.random.default_rng(12)
+    box = lambda: [float(v) for v in (lambda x, y, w, h: (x, y, x + w, y + h))(*rng.uniform(0.05, 0.5, 4))]
+    q = [(image, g, 100 * g + i, [float(v) for v in rng.normal(size=3)], *box()) for image, sizes in ((1, (6, 30)), (2, (3, 2)), (3, (1, 1)))
+         for g, n in enumerate(sizes) for i in range(n)]
+    t = [(image, i, int(rng.integers(3)), *box()) for image, n in ((1, 17), (2, 3), (4, 2)) for i in range(n)]
+    queries = spark.createDataFrame(q, "image_id long, query_group int, query_id int, logits array<double>, x1 double, y1 double, x2 double, y2 double")
+    targets = spark.createDataFrame(t, "image_id long, target_id int, class_id int, x1 double, y1 double, x2 double, y2 double")
+    got: dict = {}
+    for r in M.assign_query_groups(queries, targets, block=4).collect():
+        got.setdefault((r.image_id, r.query_group), []).append((r.query_id, r.target_id, r.cost))
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    cost = {(r.image_id, r.query_id, r.target_id): r.cost for r in M.match_costs(queries, targets).collect()}
+    for (image, g), rows in got.items():
+        qs, ts = [r[2] for r in q if r[:2] == (image, g)], [r[1] for r in t if r[0] == image]
+        assert len({r[0] for r in rows}) == len({r[1] for r in rows}) == len(rows) == min(len(qs), len(ts))
+        matrix = np.array([[cost[image, a, b] for b in ts] for a in qs])
+        i, j = M._assign(matrix)
+        assert abs(sum(r[2] for r in rows) - matrix[i, j].sum()) < 1e-9
