@@ -1,6 +1,7 @@
 """Sources and sinks on files made in a temporary folder."""
 
 import json
+import os
 import struct
 
 import pytest
@@ -150,3 +151,69 @@ def test_artifacts(spark, tmp_path):
     rows = {r.name: (r.bytes_written, r.error) for r in artifacts.write_artifacts(df, str(tmp_path), encode).collect()}
     assert rows == {"x/a.png": (3, None), "b.jpg": (None, "cannot")}
     assert (tmp_path / "x/a.png").read_bytes() == b"12!" and not (tmp_path / "b.jpg").exists()
+
+
+_ODD = ['plain', 'a "quoted" name', 'back\\slash \\\\ end\\', '{"images": [{', ']}', 'é漢\U0001f600', '', '\\"']
+
+
+@pytest.mark.parametrize("range_bytes", [23, 200, 1 << 20])
+def test_coco_documents_by_byte_range(spark, tmp_path, range_bytes):
+    """Strings full of quotes, backslashes and braces; nested segmentations; sections in any order, empty and unknown ones."""
+    n = 3 if range_bytes == 23 else 20
+    image = lambda i: {"id": i, "file_name": _ODD[i % len(_ODD)], "width": i, "height": 2 * i, "license": {"text": _ODD[-1 - i % 3], "list": [{}, [1, {"a": "]"}]]}}
+    note = lambda i: {"id": i, "image_id": i % 7, "category_id": 1, "segmentation": [[1.5, 2.0], [3, 4]], "bbox": [1.0, 2.0, 3.0, i / 4], "area": 1.0, "iscrowd": 0,
+                      "rle": {"counts": "[{\\\"", "size": [1, 2]}}
+    docs = [{"info": {"images": [{"id": -1}], "text": _ODD[3]}, "images": [image(i) for i in range(n)], "licenses": [{"id": 1}], "annotations": [note(i) for i in range(n)],
+             "categories": [{"id": 0, "name": "bird", "supercategory": _ODD[2]}]},
+            {"annotations": [note(100)], "categories": [], "images": []}, {}]
+    for k, d in enumerate(docs):
+        (tmp_path / f"{k}.json").write_text(json.dumps(d, indent=k or None, ensure_ascii=k == 1), encoding="utf-8")
+    got = A.read_coco(spark, str(tmp_path), range_bytes)
+    want = lambda name: [e for d in docs for e in d.get(name, [])]
+    assert sorted((r.id, r.file_name, r.width) for r in got["images"].collect()) == sorted((e["id"], e["file_name"], e["width"]) for e in want("images"))
+    assert sorted((r.id, r.bbox) for r in got["annotations"].collect()) == sorted((e["id"], e["bbox"]) for e in want("annotations"))
+    assert [(r.name, r.supercategory) for r in got["categories"].collect()] == [("bird", _ODD[2])]
+    if range_bytes == 200:
+        assert got["images"].rdd.getNumPartitions() > 20  # ranges of one document are tasks of their own
+
+
+def test_coco_documents_round_trip(spark, tmp_path):
+    images = spark.createDataFrame([(i, _ODD[i % len(_ODD)], 640, 480, s) for i, s in enumerate(["train", "val", "a/b c", None] * 5)],
+                                   "id long, file_name string, width int, height int, split string")
+    flat = spark.createDataFrame([(i, i % 20, i % 4, 1.0, 2.0, 3.0, 4.0, 12.0, None if i % 3 else 0.5, "train") for i in range(50)],
+                                 "id long, image_id long, category_id int, x double, y double, w double, h double, area double, orient double, split string")
+    anns = A.coco_annotations(flat).join(flat.select("id", "split"), "id")
+    cats = A.coco_categories(spark)
+    for _ in range(2):  # the second write replaces the first
+        assert A.write_coco_documents(images, anns, cats, str(tmp_path)) == ["a/b c", "null", "train", "val"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a%2Fb c.json", "null.json", "train.json", "val.json"]
+    assert len(json.loads((tmp_path / "val.json").read_text())["images"]) == 5 and json.loads((tmp_path / "val.json").read_text())["annotations"] == []
+    back = A.read_coco(spark, str(tmp_path / "train.json"), 100)
+    assert sorted((r.id, r.file_name) for r in back["images"].collect()) == sorted((r.id, r.file_name) for r in images.where("split = 'train'").collect())
+    assert [tuple(r.bbox) for r in back["annotations"].collect()] == [(1.0, 2.0, 3.0, 4.0)] * 50
+    assert [r.name for r in back["categories"].orderBy("id").collect()] == ["bird", "head", "eye", "beak"]
+    (tmp_path / "cut.json").write_text('{"images": [{"id": 1, "file_name": "x')
+    with pytest.raises(Exception, match="ends inside"):
+        A.read_coco(spark, str(tmp_path / "cut.json"))["images"].collect()
+
+
+def test_artifacts_leave_one_file_for_each_row(spark, tmp_path):
+    """A task that fails after some writes is run again (local mode: the write as a whole), and its first attempt leaves nothing; a URI is a folder too."""
+    folder, flag = tmp_path / "out", tmp_path / "failed"
+    df = spark.createDataFrame([(f"d{i % 3}/f{i}.bin", bytearray([i])) for i in range(20)] + [("../x", bytearray(b"1")), ("none", None)], "name string, content binary").coalesce(1)
+
+    def encode(content, ext):
+        if content[0] == 15 and not flag.exists():
+            flag.write_text("")
+            os._exit(1)
+        return bytes(content)
+
+    try:
+        rows = artifacts.write_artifacts(df, f"file://{folder}", encode).collect()
+    except Exception:
+        rows = artifacts.write_artifacts(df, f"file://{folder}", encode).collect()
+    assert flag.exists() and sorted(r.name for r in rows if r.error) == ["../x", "none"]
+    assert sorted(str(p.relative_to(folder)) for p in folder.rglob("*.bin")) == sorted(f"d{i % 3}/f{i}.bin" for i in range(20))
+    assert all((folder / f"d{i % 3}/f{i}.bin").read_bytes() == bytes([i]) for i in range(20))
+    assert not (tmp_path / "x").exists()
+    assert artifacts.write_artifacts(df.where("false"), str(tmp_path / "no")).count() == 0
