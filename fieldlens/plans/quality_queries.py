@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fieldlens.functions import geometry as G
 from fieldlens.functions import grids as R
 from fieldlens.functions import kernels as K
+from fieldlens.functions import tensors as X
 from fieldlens.functions.geometry import Box
+from fieldlens.functions.table_functions import register_table_functions
 from fieldlens.operators import pose as P
 from fieldlens.operators import quality as Q
 from fieldlens.plans.registry import query, r6
@@ -297,6 +299,47 @@ def grayscale_pixels(t: Tables) -> DataFrame:
                                _r(Q.normalised_pixels(byte, 0, CHANNEL_MEAN, CHANNEL_STD), "standard"))
 
 
+_BOXED = """t as (select unnest(range(12)) as k), s as (select k, greatest((k+0.5::double)*8/12-0.5::double, 0) as src from t),
+w as (select k, cast(least(floor(src), 6) as int) as i, least(src, 7) - least(floor(src), 6) as f from s)"""
+
+
+@query("I-07", f"""
+with {_BOXED}, b as (select a.image_id, y.k as ty, x.k as tx, (a.v*(1-x.f)+b.v*x.f)*(1-y.f)+(c.v*(1-x.f)+d.v*x.f)*y.f as z from w y, w x, grid_cells a
+  join grid_cells b on b.image_id=a.image_id and b.gy=a.gy and b.gx=a.gx+1 join grid_cells c on c.image_id=a.image_id and c.gy=a.gy+1 and c.gx=a.gx
+  join grid_cells d on d.image_id=a.image_id and d.gy=a.gy+1 and d.gx=a.gx+1 where a.gy=y.i and a.gx=x.i)
+select image_id, cast(ty*16+tx+2 as int) as pos, {r6('(100+100*z)/255')} as v from b
+union all select image_id, cast(y.k*16+p as int), {r6('114/255.0::double')} from (select distinct image_id from grid_cells), t y, (select unnest([0, 1, 14, 15]) as p)""")
+def letterbox_tensors(t: Tables) -> DataFrame:
+    """8 x 8 grids as grey images on a 12 x 16 canvas."""
+    pixels = F.transform("cells", lambda v: 100 + 100 * v)
+    made = X.letterbox_tensor(12, 16, rounded=False)(pixels, F.lit(8), F.lit(8))
+    return t.grids.select("image_id", F.posexplode(made).alias("pos", "v")).select("image_id", "pos", _r(C("v"), "v"))
+
+
+@query("I-07", f"select image_id, cast(gy*8+gx as int) as pos, {r6('v / greatest(max(v) over (partition by image_id), 1e-6) - 0.5::double')} as v from grid_cells")
+def peak_normalised_tensors(t: Tables) -> DataFrame:
+    made = X.peak_normalised_tensor(8)("cells", F.lit(8), F.lit(8))
+    return t.grids.select("image_id", F.posexplode(made).alias("pos", "v")).select("image_id", "pos", _r(C("v"), "v"))
+
+
+@query("F-05 J-10", f"""
+select image_id, det_id, cast(i//2 as int) as sy, cast(i%2 as int) as sx, {r6('greatest(x1,0)+(i%2+0.5::double)/2*greatest(least(x2,width)-greatest(x1,0),1)')} as x,
+  {r6('greatest(y1,0)+(i//2+0.5::double)/2*greatest(least(y2,height)-greatest(y1,0),1)')} as y from detections join images using (image_id), (select unnest(range(4)) as i)""")
+def roi_sample_points(t: Tables) -> DataFrame:
+    """The table function in a lateral join."""
+    register_table_functions(t.spark)
+    boxes = _sized(t).select("image_id", "det_id", *Box._fields, C("width").cast("double").alias("width"), C("height").cast("double").alias("height"))
+    points = t.spark.sql("select b.image_id, b.det_id, p.* from {boxes} b, lateral roi_points(b.x1, b.y1, b.x2, b.y2, b.width, b.height, 2) p", boxes=boxes)
+    return points.select("image_id", "det_id", "sy", "sx", _r(C("x"), "x"), _r(C("y"), "y"))
+
+
+@query("F-05 M-05", "select image_id, cast(y*8+x as int) as pos, m from mask_pixels")
+def mask_pixels_by_table_function(t: Tables) -> DataFrame:
+    register_table_functions(t.spark)
+    runs = t.masks.select("image_id", F.posexplode(R.run_lengths(C("mask"), 1)).alias("run_no", "n"))
+    return t.spark.sql("select * from run_pixels(table(select * from {runs}), 1)", runs=runs)
+
+
 @query("I-02", f"select image_id, cast((gy//2)*4+gx//2 as int) as pos, {r6('avg(v)')} as v from grid_cells group by 1, 2")
 def half_size_images(t: Tables) -> DataFrame:
     d = _cells(t.grids.select("image_id", R.half_size(C("cells"), 8, 8).alias("h")), "h")

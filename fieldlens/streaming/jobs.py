@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldlens.operators.events import throughput
+from fieldlens.streaming.snapshots import Entries, Snapshots
 
 STATUS_OUT = "path string, status string, event_id bigint"
 STATUS_STATE = "kind string, ts_us bigint, event_id bigint"
@@ -93,51 +93,48 @@ def stage_join(quality: DataFrame, detections: DataFrame, bound_seconds: int = 6
 class MetadataUpsert:
     """``foreachBatch`` writer of section updates (image_id, ts, sections...).
 
-    A micro-batch only adds its own rows, as one partition named by the batch id; a replayed batch replaces that
-    partition, so every batch counts exactly once. Reading takes the newest value of every section; ``compact`` folds
-    finished batches into a base so that reads stay cheap. The folder must be one all executors see.
+    A micro-batch adds its own rows as one immutable folder and then a new version of the table that names it; a replayed batch replaces
+    its folder in the next version, so every batch counts exactly once. Reading takes the newest value of every section; ``compact`` folds
+    finished batches into a base so that reads stay cheap. Versions are swapped by one rename (``Snapshots``): a reader during a replay or a
+    compaction sees the version before or the one after, whole.
     """
 
     def __init__(self, folder: str):
-        self.deltas, self.bases = f"{folder.rstrip('/')}/deltas", f"{folder.rstrip('/')}/bases"
+        self.table = Snapshots(folder)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         own = [s for s in batch.columns if s not in ("image_id", "ts")]
         told = lambda s: F.when(F.col(s).isNotNull(), F.col("ts"))
         newest = batch.groupBy("image_id").agg(*[e for s in own for e in (F.max_by(s, told(s)).alias(s), F.max(told(s)).alias(f"{s}__at"))])
-        self._write(newest.withColumn("batch_id", F.lit(batch_id)), "batch_id", self.deltas)
+        held = lambda entries: any(e["kind"] == "base" and batch_id <= e["upto"] for e in entries)
+        if held(self.table.latest(batch.sparkSession)[1]):  # a base holds this batch: it has counted
+            return
+        entry = {"kind": "batch", "batch_id": batch_id, "path": self.table.write(newest.withColumn("batch_id", F.lit(batch_id).cast("bigint")))}
+        self.table.commit(batch.sparkSession, lambda now: now if held(now) else [*(e for e in now if e.get("batch_id") != batch_id), entry])
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Current sections, one row per image: the value with the newest time of its own, of equal times that of the last batch."""
         current = self._current(spark)
         return current.select([c for c in current.columns if not c.endswith("__at")])
 
-    def _current(self, spark: SparkSession) -> DataFrame:
-        deltas = spark.read.parquet(self.deltas)
-        sections = [c for c in deltas.columns if c not in ("image_id", "batch_id") and not c.endswith("__at")]
-        base, upto = self._base(spark)
-        if base is not None:
-            deltas = deltas.filter(F.col("batch_id") > upto).unionByName(base.withColumnRenamed("upto", "batch_id"))
-        return deltas.groupBy("image_id").agg(*[
+    def _current(self, spark: SparkSession, entries: Entries | None = None) -> DataFrame:
+        entries = self.table.latest(spark)[1] if entries is None else entries
+        rows = spark.read.option("mergeSchema", "true").parquet(*[f"{self.table.folder}/{e['path']}" for e in entries])
+        sections = [c for c in rows.columns if c not in ("image_id", "batch_id") and not c.endswith("__at")]
+        return rows.groupBy("image_id").agg(*[
             e for s in sections for e in (
                 F.max_by(s, F.when(F.col(s).isNotNull(), F.struct(f"{s}__at", "batch_id"))).alias(s), F.max(f"{s}__at").alias(f"{s}__at"))])
 
     def compact(self, spark: SparkSession) -> None:
-        """Write a base that covers all batches so far."""
-        upto = spark.read.parquet(self.deltas).agg(F.max("batch_id")).first()[0]
-        self._write(self._current(spark).withColumn("upto", F.lit(upto)), "upto", self.bases)
-
-    def _base(self, spark: SparkSession):
-        try:
-            bases = spark.read.parquet(self.bases)
-        except AnalysisException:  # nothing compacted yet
-            return None, -1
-        upto = bases.agg(F.max("upto")).first()[0]
-        return bases.filter(F.col("upto") == upto), upto
-
-    @staticmethod
-    def _write(rows: DataFrame, part: str, folder: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
+        """Fold all batches so far into a base."""
+        entries = self.table.latest(spark)[1]
+        upto = max((e.get("batch_id", e.get("upto")) for e in entries), default=None)
+        if upto is None:
+            return
+        rows = self._current(spark, entries).withColumn("batch_id", F.lit(upto).cast("bigint"))
+        base = {"kind": "base", "upto": upto, "path": self.table.write(rows)}
+        self.table.commit(spark, lambda now: [base, *(e for e in now if e["kind"] == "batch" and e["batch_id"] > upto)])
+
 
 
 def metric_monitor(

@@ -274,3 +274,45 @@ def test_roi_mean_equals_sampling(spark):
     got = [r.m for r in df.select(kernels.roi_mean(side)("g", "x1", "y1", "x2", "y2", "w", "h").alias("m")).collect()]
     for a, b in zip(got, [plain(*r) for r in rows]):
         assert (a is None and b is None) or abs(a - b) < 1e-12
+
+
+def test_tensors(spark):
+    from fieldlens.functions import tensors as X
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (4, 6, 3)).astype(float)
+    rows = [(image.ravel().tolist(), 4, 6), (rng.integers(0, 256, (5, 5, 1)).astype(float).ravel().tolist(), 5, 5), (None, 4, 6), ([0.0] * 4, 2, 2)]
+    df = spark.createDataFrame(rows, "p array<double>, h int, w int")
+    boxed = [r.t for r in df.select(X.letterbox_tensor(12, 12)("p", "h", "w").alias("t")).collect()]
+    got = np.array(boxed[0]).reshape(3, 12, 12)
+    assert (got[:, :2] == 114 / 255).all() and (got[:, 10:] == 114 / 255).all() and boxed[2] is None
+    at = lambda n, k: min(max((k + 0.5) * n / (2 * n) - 0.5, 0), n - 1)
+    for y in range(8):
+        for x in range(12):
+            v, u = at(4, y), at(6, x)
+            i, j = min(int(v), 2), min(int(u), 4)
+            z = (image[i, j] * (1 - u + j) + image[i, j + 1] * (u - j)) * (1 - v + i) + (image[i + 1, j] * (1 - u + j) + image[i + 1, j + 1] * (u - j)) * (v - i)
+            assert np.abs(got[:, y + 2, x] * 255 - z).max() <= 0.5 + 1e-9
+    same = [r.t for r in df.select(X.square_tensor(5, (0.5,), (0.25,))("p", "h", "w").alias("t")).collect()]
+    assert np.allclose(same[1], (np.array(rows[1][0]) / 255 - 0.5) / 0.25)  # the same size: the kernel is 1 at 0 and 0 at whole numbers
+    peak = [r.t for r in df.select(X.peak_normalised_tensor(5)("p", "h", "w").alias("t")).collect()]
+    assert np.allclose(peak[1], np.array(rows[1][0]) / max(rows[1][0]) - 0.5) and set(peak[3]) == {-0.5}
+    for n, m in ((9, 4), (4, 9), (7, 1), (1, 5)):
+        for kernel in ("linear", "lanczos"):
+            w = X.resize_matrix(n, m, kernel, True)
+            assert w.shape == (m, n) and np.allclose(w.sum(axis=1), 1)
+    with pytest.raises(Exception, match="no image"):
+        df.limit(1).select(X.letterbox_tensor(4, 4)("p", F.lit(7), "w")).collect()
+
+
+def test_table_functions(spark):
+    from fieldlens.functions import table_functions as TF
+
+    TF.register_table_functions(spark)
+    runs = [("b", 1, 3), ("a", 0, 2), ("b", 0, 0), ("a", 2, 1), ("a", 1, None), ("b", 2, 1)]
+    spark.createDataFrame(runs, "name string, no int, n int").createOrReplaceTempView("runs_of_masks")
+    got = spark.sql("select * from run_pixels(table(runs_of_masks), 1)").collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 1), ("a", 1, 1), ("a", 2, 1), ("b", 0, 0), ("b", 1, 0), ("b", 2, 0), ("b", 3, 1)] and got[0].__fields__ == ["name", "pos", "m"]
+    points = spark.sql("select sy, sx, x, y from (select -4D as x1, 1D as y1, 6D as x2, 50D as y2) b, lateral roi_points(x1, y1, x2, y2, 10D, 9D, 2)").collect()
+    assert sorted(map(tuple, points)) == [(0, 0, 1.5, 3.0), (0, 1, 4.5, 3.0), (1, 0, 1.5, 7.0), (1, 1, 4.5, 7.0)]
+    assert spark.sql("select * from roi_points(cast(null as double), 1D, 6D, 50D, 10D, 9D, 2)").count() == 0

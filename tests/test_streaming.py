@@ -131,6 +131,35 @@ def test_upsert_sink(spark, tmp_path):
     assert show() == {(1, "d2", "q1"), (2, "x5", "q9"), (3, None, "q3")}
 
 
+def test_readers_see_whole_versions(spark, tmp_path):
+    """A reader that began before a replay, a compaction or a failed write keeps its version; two writers of one number both count."""
+    from fieldlens.streaming.snapshots import Snapshots
+
+    sink = J.MetadataUpsert(f"file://{tmp_path}/meta")
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = lambda *r: spark.createDataFrame(list(r), "image_id int, ts timestamp, detect string")
+    show = lambda df: sorted((r.image_id, r.detect) for r in df.collect())
+    sink(rows((1, at(1), "a")), 0)
+    before = sink.read(spark)
+    sink(rows((1, at(2), "b"), (2, at(2), "x")), 1)
+    assert show(before) == [(1, "a")] and show(sink.read(spark)) == [(1, "b"), (2, "x")]
+    middle = sink.read(spark)
+    sink.compact(spark)
+    sink(rows((1, at(2), "b"), (2, at(2), "x")), 1)  # replay of a batch that the base holds
+    sink.compact(spark)
+    assert show(middle) == show(sink.read(spark)) == [(1, "b"), (2, "x")]
+    table = Snapshots(f"{tmp_path}/other")
+
+    def second(entries):
+        if not entries:  # another writer commits between reading and renaming
+            table.commit(spark, lambda e: [*e, {"path": "data/first"}])
+        return [*entries, {"path": "data/second"}]
+
+    assert table.commit(spark, second) == 2 and [e["path"] for e in table.latest(spark)[1]] == ["data/first", "data/second"]
+    sink.table.vacuum(spark, keep=1)
+    assert show(sink.read(spark)) == [(1, "b"), (2, "x")] and len(list((tmp_path / "meta/data").iterdir())) == 1
+
+
 def test_progress_listener(spark, event_stream, tmp_path):
     _, stream = event_stream
     ended = []
