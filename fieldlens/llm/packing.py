@@ -25,7 +25,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 class Ids:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; the library encodes each distinct piece once per worker.
 
-    Texts are ordinary text throughout: strings of special tokens get no special ids.
+    Strings of special tokens inside texts get the ids that the library gives them by default; none is added.
     """
 
     def __init__(self, path: str):
@@ -33,7 +33,6 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache = PieceCache(self._encode)
 
     def _encode(self, pieces: list[str]):
