@@ -24,31 +24,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts: score at or above its threshold.
+
+    Null and empty texts are scored from what they lack; rows of equal text and length score alike, so ties and repeated rows stay or go together; an
+    empty table gives no rows. Other columns pass through; a column named ``__score`` would be lost.
+    """
     ship_package(spark)
     return with_quality(docs, fit_quality(docs, _labels(spark, sf_dir)), _SCORE).where(F.col(_SCORE) >= GOOD).drop(_SCORE)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier accepts."""
+    """Documents that the toxicity classifier accepts: score below its threshold.
+
+    Null and empty texts are scored from what they lack; rows of equal text score alike, so ties and repeated rows stay or go together; an empty table
+    gives no rows. Other columns pass through; a column named ``__score`` would be lost.
+    """
     ship_package(spark)
     return with_toxicity(docs, fit_toxicity(docs, _labels(spark, sf_dir)), _SCORE).where(F.col(_SCORE) < TOXIC).drop(_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; those with nothing left go."""
+    """Documents without lines that an earlier document holds; those with nothing left go.
+
+    Null and empty texts and texts of blank lines stay as they are; ties and repeated rows follow ``line_decisions``: the smallest id is the earliest, null
+    last, and rows of equal id and text are treated alike; an empty table gives no rows. Other columns pass through; columns
+    named ``__gone``, ``__id``, ``__hash`` or ``__text_hash`` are not allowed.
+    """
     return dedup_lines(docs)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Rows that repeat an id stay or go together."""
+    """One document of each group of near-duplicates: the smallest id. Rows that repeat an id stay or go together.
+
+    Null and empty texts and null ids stay; an empty table gives no rows. Other columns pass through; a column named ``__id`` is not allowed.
+    """
     ship_package(spark)
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids."""
+    """Sequences of token ids. A null or empty text is the end id alone; repeated rows are documents of their own; an empty table gives no rows."""
     ship_package(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
