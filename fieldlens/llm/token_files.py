@@ -220,7 +220,8 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: list[int] | None
                             rows, size = [], 0
                     yield _batch(rows)
 
-    spread = manifest.select("file", "base").repartition("file")
+    # With a number of its own the exchange is not coalesced: adaptive execution takes these few short rows for one task's work.
+    spread = manifest.select("file", "base").repartition(max(1, min(manifest.count(), 10_000)), "file")
     return spread.mapInArrow(run, schema)
 
 
