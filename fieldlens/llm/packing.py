@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from fieldlens.llm.store import documents
 VOCABULARY = "byte_bpe_50k.json"
 _SLOTS = 36  # bits of a sequence's number inside its task and bucket; 4 bits of bucket stand above, then the task
 _ROWS = 4096
+_ID_BYTES = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int, sequence_id bigint, offset bigint"
 
@@ -37,7 +39,8 @@ class Ids:
 
     def _encode(self, pieces: list[str]):
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+            ids = e.ids
+            yield _ID_BYTES[len(ids)](*ids) if len(ids) < 32 else np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [head + b"".join(tail) for head, tail in self.cache.lookup(texts)]

@@ -38,16 +38,22 @@ class PieceCache:
             self.old[space], self.young[space] = self.young[space], {}
         young, old = self.young[space], self.old[space]
         missing = found.difference(young)
-        again = missing.intersection(old) if old else ()
-        young.update((p, old[p]) for p in again)
-        new = list(missing.difference(again))
-        young.update(zip(new, self.encode([space + p for p in new])))
+        if old:
+            again = missing.intersection(old)
+            young.update(zip(again, map(old.__getitem__, again)))
+            missing -= again
+        new = list(missing)
+        young.update(zip(new, self.encode([space + p for p in new] if space else new)))
         return young
 
     def of(self, pieces: set[str]) -> dict:
         """Encodings of these pieces and maybe of others; every piece has one space in front."""
         return self._learn(" ", pieces)
 
+    def whole(self, pieces: set[str]) -> dict:
+        """As ``of``, for pieces without a space in front."""
+        return self._learn("", pieces)
+
     def lookup(self, texts: list[str]) -> list[tuple[object, list]]:
         """Encodings of the first piece and of the later pieces of each text."""
         cuts = [cut(t) for t in texts]

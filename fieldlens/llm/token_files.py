@@ -10,12 +10,14 @@ Layout of one file (all numbers little-endian):
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import xxhash
 import zstandard
 from pyarrow.fs import FileSystem
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.packing import Ids
-from fieldlens.llm.pieces import slices
+from fieldlens.llm.pieces import PieceCache, slices
 from fieldlens.llm.store import documents, scratch_path, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,12 +39,39 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
+# Fixed value: the vocabulary's own word pattern.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+#: Characters that normalisation only lower-cases, one by one; no string of a special token among them.
+_PLAIN = re.compile("(?:(?!<[|])[\0-\u012f\u0131-\u024f])*").fullmatch
+
 
 class WordIds(Ids):
-    """White space never reaches a token of this kind of vocabulary, so a piece is encoded without the space before it."""
+    """Ids of a vocabulary that lower-cases and drops white space: a piece is cut into the vocabulary's words, and each distinct word is encoded once.
+
+    Pieces with characters beyond ``_PLAIN`` and those that may hold the string of a special token go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.words = PieceCache(super()._encode)
 
     def _encode(self, pieces: list[str]):
-        return super()._encode([p.lstrip(" ") for p in pieces])
+        keys: list = [p.lstrip(" ") for p in pieces]
+        single: set[str] = set()
+        several: list[int] = []
+        for i, p in enumerate(keys):
+            if _PLAIN(p):
+                keys[i] = p = p.lower()
+                if not p.isalpha():
+                    keys[i] = _WORDS(p)
+                    several.append(i)
+                    continue
+            single.add(p)
+        single.update(*(keys[i] for i in several))
+        of = self.words.whole(single)
+        for i in several:
+            keys[i] = of[keys[i][0]] if len(keys[i]) == 1 else b"".join([of[w] for w in keys[i]])
+        return [k if type(k) is bytes else of[k] for k in keys]
 
 
 @functools.cache
