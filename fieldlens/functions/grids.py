@@ -167,9 +167,9 @@ def mask_errors(mask: Column, width: Column, height: Column, start_value: Column
     spot = F.get(F.filter(F.transform(mask, lambda v, i: F.when(bad(v), i)), lambda i: i.isNotNull()), F.lit(0))
     text = lambda c: c.cast("string")
     return (
-        F.when(F.size(mask) != expected, F.concat(F.lit("mask length "), text(F.size(mask)), F.lit(" != "), text(expected)))
-        .when(~start_value.isin(0, 1), F.lit("start_value must be 0 or 1"))
-        .when(F.exists(mask, bad), F.concat(F.lit("mask contains non-binary value "), text(F.get(mask, spot)), F.lit(" at index "), text(spot)))
+        F.when(F.size(mask) != expected, F.concat(F.lit("expected "), text(expected), F.lit(" cells, found "), text(F.size(mask))))
+        .when(~start_value.isin(0, 1), F.lit("the first run stands for neither 0 nor 1"))
+        .when(F.exists(mask, bad), F.concat(F.lit("cell "), text(spot), F.lit(" holds "), text(F.get(mask, spot)), F.lit(", which is neither 0 nor 1")))
     )
 
 

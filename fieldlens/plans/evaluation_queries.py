@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions.geometry import Box
 from fieldlens.operators import evaluation as E
+from fieldlens.operators import states as S
 from fieldlens.operators.selection import class_name
 from fieldlens.plans.matching_queries import _GREEDY
 from fieldlens.plans.registry import query, r6
@@ -53,6 +54,25 @@ def average_precision(t: Tables) -> DataFrame:
     return _round(table.groupBy("class_id", "thr_no").agg(F.avg("precision").alias("ap"), F.max("precision").alias("best")), "ap", "best")
 
 
+@query("F-04 A-17", f"""
+with m as (select class_id, 99 - greatest(least(cast(floor(confidence*100) as int), 99), 0) as bin, cast((image_id*7+det_id*3)%11 > 0 as int) as tp,
+  cast((image_id+det_id)%17=0 and (image_id*7+det_id*3)%11 <= 0 as int) as ig from candidate),
+h as (select class_id, bin, sum(tp) as tp, sum((1-tp)*(1-ig)) as fp from m group by 1, 2),
+c as (select class_id, bin, fp, sum(tp) over w as t, sum(fp) over w as g from h window w as (partition by class_id order by bin)),
+n as (select class_id, count(*) as npos from detections group by 1),
+e as (select class_id, t/npos as rec, t/(t+g) as low, t/(t+g-fp) as high from c join n using (class_id) where t > 0),
+p as (select class_id, j, coalesce(max(low) filter (rec >= j*0.01::double), 0) as low, coalesce(max(high) filter (rec >= j*0.01::double), 0) as high
+  from n cross join (select unnest(range(101)) as j) left join e using (class_id) group by 1, 2)
+select class_id, {r6('avg(low)')} as low, {r6('avg(high)')} as high from p group by 1""")
+def average_precision_bounds(t: Tables) -> DataFrame:
+    """Average precision at the first threshold from states made for each image and merged."""
+    flag = lambda c: F.get(c, F.lit(0))
+    per_image = _flags(t, 1).groupBy("class_id", "image_id").agg(S.hit_state("confidence", flag("tp"), flag("ignored")).alias("state"))
+    states = per_image.groupBy("class_id").agg(S.merged_state("state", 2 * S.SCORE_BINS).alias("state"))
+    both = _truth_counts(t).join(states, "class_id", "left").withColumn("state", F.coalesce("state", F.array_repeat(F.lit(0).cast("bigint"), 2 * S.SCORE_BINS)))
+    return _round(both.withColumn("ap", S.state_precision("state", "n_truths")).select("class_id", "ap.low", "ap.high"), "low", "high")
+
+
 @query("A-17", _RULE + f"""
 select class_id, cast(j as int) as recall_no, {r6('precision')} as precision, {r6('score')} as score from grid where i = 3""")
 def precision_at_recall(t: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from fieldlens.functions.geometry import Box
 from fieldlens.functions.table_functions import register_table_functions
 from fieldlens.operators import pose as P
 from fieldlens.operators import quality as Q
+from fieldlens.operators import states as S
 from fieldlens.plans.registry import query, r6
 from fieldlens.plans.tables import Tables
 from fieldlens.schemas import CHANNEL_MEAN, CHANNEL_STD, QualityParams, TriageParams
@@ -81,6 +82,17 @@ def tile_means(t: Tables) -> DataFrame:
     return tiled.agg(_r(F.avg(C("v") * C("v")), "energy"))
 
 
+@query("F-04 A-05", f"""
+select image_id, cast((3*(gy+1)-1)//8 as int) as ty, cast((3*(gx+1)-1)//8 as int) as tx, {r6('avg(v*v)')} as energy from grid_cells group by 1, 2, 3""")
+def merged_tile_means(t: Tables) -> DataFrame:
+    """Tile means of each image from states made for each row of its grid and merged."""
+    tile = R.tile_of(C("gy"), 8, 3) * 3 + R.tile_of(C("gx"), 8, 3)
+    rows = t.grid_cells.groupBy("image_id", "gy").agg(S.mean_state(C("v") * C("v"), tile, 9).alias("state"))
+    means = rows.groupBy("image_id").agg(S.state_means(S.merged_state("state", 18, "double"), 9).alias("m"))
+    each = means.select("image_id", F.posexplode("m").alias("k", "energy"))
+    return each.select("image_id", F.floor(C("k") / 3).cast("int").alias("ty"), (C("k") % 3).alias("tx"), _r(C("energy"), "energy"))
+
+
 @query("A-09", f"""
 select image_id, {r6('min(v)')} as min, {r6('max(v)')} as max, {r6('avg(v)')} as mean, {r6('list_sort(list(v))[33]')} as median from grid_cells group by 1""")
 def grid_statistics(t: Tables) -> DataFrame:
@@ -245,8 +257,8 @@ def packed_masks(t: Tables) -> DataFrame:
 
 
 @query("M-06", """
-select image_id, case when image_id%5=0 then 'mask length 63 != 64' when image_id%5=1 then 'start_value must be 0 or 1'
-  when image_id%5=2 then 'mask contains non-binary value 2 at index 9' end as error from (select distinct image_id from mask_pixels)""")
+select image_id, case when image_id%5=0 then 'expected 64 cells, found 63' when image_id%5=1 then 'the first run stands for neither 0 nor 1'
+  when image_id%5=2 then 'cell 9 holds 2, which is neither 0 nor 1' end as error from (select distinct image_id from mask_pixels)""")
 def mask_violations(t: Tables) -> DataFrame:
     k = C("image_id") % 5
     bad = F.transform("mask", lambda v, i: F.when((k == 2) & (i == 9), F.lit(2)).otherwise(v))

@@ -51,8 +51,8 @@ def test_output_names(spark):
 
 
 @pytest.mark.parametrize("mask,start,error", [
-    ([0, 1, 0], 0, "mask length 3 != 4"), ([0, 1, 0, 1], 2, "start_value must be 0 or 1"),
-    ([0, 1, 2, 1], 0, "mask contains non-binary value 2 at index 2"), ([0, 1, 1, 1], 0, None)])
+    ([0, 1, 0], 0, "expected 4 cells, found 3"), ([0, 1, 0, 1], 2, "the first run stands for neither 0 nor 1"),
+    ([0, 1, 2, 1], 0, "cell 2 holds 2, which is neither 0 nor 1"), ([0, 1, 1, 1], 0, None)])
 def test_mask_errors(spark, mask, start, error):
     df = spark.createDataFrame([(mask, start)], "m array<int>, s int")
     assert df.select(R.mask_errors(C("m"), F.lit(2), F.lit(2), C("s"))).first()[0] == error
