@@ -65,10 +65,11 @@ p as (select class_id, j, coalesce(max(low) filter (rec >= j*0.01::double), 0) a
   from n cross join (select unnest(range(101)) as j) left join e using (class_id) group by 1, 2)
 select class_id, {r6('avg(low)')} as low, {r6('avg(high)')} as high from p group by 1""")
 def average_precision_bounds(t: Tables) -> DataFrame:
-    """Average precision at the first threshold from states made for each image and merged."""
+    """Average precision at the first threshold from states made for each of 64 parts of the images and merged."""
     flag = lambda c: F.get(c, F.lit(0))
-    per_image = _flags(t, 1).groupBy("class_id", "image_id").agg(S.hit_state("confidence", flag("tp"), flag("ignored")).alias("state"))
-    states = per_image.groupBy("class_id").agg(S.merged_state("state", 2 * S.SCORE_BINS).alias("state"))
+    parts = _flags(t, 1).withColumn("part", F.pmod("image_id", F.lit(64)))
+    per_part = S.hit_states(parts, ["class_id", "part"], F.col("confidence"), flag("tp"), flag("ignored"))
+    states = S.merged_states(per_part, ["class_id"], 2 * S.SCORE_BINS)
     both = _truth_counts(t).join(states, "class_id", "left").withColumn("state", F.coalesce("state", F.array_repeat(F.lit(0).cast("bigint"), 2 * S.SCORE_BINS)))
     return _round(both.withColumn("ap", S.state_precision("state", "n_truths")).select("class_id", "ap.low", "ap.high"), "low", "high")
 

@@ -55,6 +55,17 @@ def test_bounds_hold_the_exact_value(spark, counts):
         assert ap.low - 1e-12 <= exact[cls] <= ap.high + 1e-12 and ap.low < ap.high
 
 
+def test_both_forms_give_the_same_states(spark):
+    rows = [(k % 2, k % 5, k, (k * 37 % 101) / 100 if k % 7 else None, int(k % 3 == 0), int(k % 4 == 0)) for k in range(90)] + [(9, 1, 1, None, 1, 0)]
+    matches = _matches(spark, rows)
+    keys = ["class_id", "image_id"]
+    flag = lambda c: F.get(c, F.lit(0))
+    plain = S.hit_states(matches, keys, F.col("confidence"), flag("tp"), flag("ignored"))
+    key = lambda d: {tuple(r)[:-1]: r.state for r in d.collect()}
+    assert key(plain) == key(matches.groupBy(*keys).agg(_state()))
+    assert key(S.merged_states(plain, ["class_id"], SIZE)) == key(matches.groupBy("class_id").agg(_state()))
+
+
 def test_nulls_extremes_and_no_truths(spark):
     rows = [(0, 1, 1, None, 1, 0), (0, 1, 2, 0.5, None, 0), (1, 1, 3, 1.0, 1, 0), (1, 1, 4, 0.0, 0, 0), (1, 1, 5, 7.0, 0, 0)]
     states = {r.class_id: r.state for r in _matches(spark, rows).groupBy("class_id").agg(_state()).collect()}
