@@ -219,3 +219,14 @@ def test_queries_match_sql(spark):
     for name in SQL:
         assert compare(QUERIES[name](spark, SF), con, SQL[name]) is None, name
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_word_ids_equal_library_on_odd_pieces():
+    """Words, contractions, digits, signs, special strings and characters that normalisation changes, in any order."""
+    ids = token_files.WordIds(public_tokenizers.path(token_files.VOCABULARY))
+    parts = ["'s", "'T", "'", "''", "!", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "\x1c", "\x0b", "\x00", "\x7f", "\x85", "\xa0",
+             "é", "É", "é", "İ", "ß", "Σ", "中", "²", "a", "Ab", "DON'T", "42", "_", "-", "'re", "'LL", ""]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.encode(texts) == want
