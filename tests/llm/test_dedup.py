@@ -191,10 +191,33 @@ def test_copies_in_a_long_list_are_linked_beside_short_lists(spark):
 
 def test_equal_coordinates(spark):
     rng = random.Random(3)
-    rows = [tuple(rng.getrandbits(31) for _ in range(96)) for _ in range(50)]
+    rows = [[rng.randrange(16) for _ in range(96)] for _ in range(50)]
     rows += [r[:48] + r[:40] + r[88:] for r in rows]
-    df = spark.createDataFrame(rows, ", ".join(f"m{i} bigint" for i in range(96)))
-    side = lambda k: df.select(*[F.col(f"m{k + i}").alias(f"m{i}") for i in range(48)], F.monotonically_increasing_id().alias("id")).select("id", lines._sketch(48).alias(f"s{k}"))
-    got = side(0).join(side(48), "id").orderBy("id").select(lines._equal_coordinates(F.col("s0"), F.col("s48"), 48).alias("n")).collect()
-    assert [r.n for r in got] == [sum((a >> 8 & 15) == (b >> 8 & 15) for a, b in zip(r[:48], r[48:])) for r in rows]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    sketch = lambda c: [signed(sum(v << 4 * i for i, v in enumerate(c[k:k + 16]))) for k in (0, 16, 32)]
+    df = spark.createDataFrame([(i, sketch(r[:48]), sketch(r[48:])) for i, r in enumerate(rows)], "id int, a array<bigint>, b array<bigint>")
+    got = df.orderBy("id").select(lines._equal_coordinates(F.col("a"), F.col("b"), 48).alias("n")).collect()
+    assert [r.n for r in got] == [sum(a == b for a, b in zip(r[:48], r[48:])) for r in rows]
     assert 20 < lines.least_equal(48, 0.8) < 28
+
+
+def test_bounds_hold_for_every_linked_pair(spark):
+    """Bits and coordinates never differ in more places than shingles do."""
+    rng = random.Random(31)
+    texts = []
+    for n in (3, 5, 8, 20, 60, 200, 700):
+        t = "".join(rng.choice("abcdefgh ") for _ in range(n)) + "."
+        texts += [t, t[:-1] + "xy", t[: n // 2] + t[n // 2 + 1:], t + t[: n // 10], "-" * (n + 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    near = lines._candidates(lines._occurrences(docs), lines.BANDS, lines.ROWS)
+    rows = near.join(lines._wide_bits(near.select("cid", "line")), "cid").collect()
+    sets = [{r.line[k:k + 5] for k in range(len(r.line) - 4)} or {r.line} for r in rows]
+    differing = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+    nibbles = lambda s: [x >> 4 * i & 15 for x in s for i in range(16)]
+    for r, a in zip(rows, sets):
+        assert r.n >= len(a) and len(r.wide) == lines.WORDS and len(r.bits) == lines.BANDS
+        for q, b in zip(rows, sets):
+            d = len(a ^ b)
+            assert differing(r.bits, q.bits) <= d and differing(r.wide, q.wide) <= d
+            assert sum(x != y for x, y in zip(nibbles(r.sketch), nibbles(q.sketch))) <= d
+    assert len(rows) > 20
