@@ -11,7 +11,7 @@ from fieldlens.functions import geometry as G
 from fieldlens.functions.geometry import Box
 from fieldlens.operators.decode import sigmoid
 from fieldlens.operators.matching import counting_truths, greedy_matches
-from fieldlens.operators.running import SLICE_COLUMNS, average_ranks, running_max, running_sums, split_slices, value_slices
+from fieldlens.operators.running import SLICE_COLUMNS, average_ranks, rising_runs, running_sums, split_slices, value_slices
 from fieldlens.schemas import IOU_THRESHOLDS, MAX_DETECTIONS, RECALL_POINTS
 
 
@@ -26,29 +26,37 @@ def _score_slices(df: DataFrame, source: DataFrame | None, ascending: bool) -> t
 def cumulative_hits(matches: DataFrame, n_thresholds: int, source: DataFrame | None = None) -> DataFrame:
     """Running true and false positives by falling confidence, per class and area range, one column per threshold.
 
-    All thresholds share one sort. ``source`` is the plain prediction table, used for the slice bounds only.
+    All thresholds share one sort; their flags are bits until the rows are shuffled, and ``row`` holds the columns of ``matches``. Rows that
+    count at no threshold are left out. ``source`` is the plain prediction table, used for the slice bounds only.
     """
-    ready, slices = _score_slices(matches, source, ascending=False)
-    sums = {}
-    for i in range(n_thresholds):
-        tp, ig = F.get("tp", F.lit(i)), F.get("ignored", F.lit(i))
-        sums[f"ctp{i}"] = tp.cast("bigint")
-        sums[f"cfp{i}"] = ((1 - tp) * (1 - ig)).cast("bigint")
-    order = [F.col("_key"), F.col("_tie"), F.col("det_rank")]
-    return running_sums(ready, ["class_id", "area_range"], slices, order, sums).drop("_key", "_tie", *SLICE_COLUMNS)
+    tp, ig = lambda i: F.get("tp", F.lit(i)), lambda i: F.get("ignored", F.lit(i))
+    bits = lambda flag: sum((flag(i).cast("int") * (1 << i) for i in range(n_thresholds)), F.lit(0))
+    live = matches.withColumns({
+        "_tp": bits(tp), "_fp": bits(lambda i: (1 - tp(i)) * (1 - ig(i))), "_skip": bits(ig)}).filter("(_tp | _fp) <> 0")
+    ready, slices = _score_slices(live, source, ascending=False)
+    row = F.struct("_key", "_tie", "det_rank", "image_id", "det_id", "confidence", "_skip", "_tp").alias("row")
+    placed = ready.select("class_id", "area_range", *SLICE_COLUMNS, "_tp", "_fp", row)
+    bit = lambda c, i: F.expr(f"cast((shiftright({c}, {i}) & 1) as bigint)")
+    sums = {f"c{kind}{i}": bit(f"_{kind}", i) for i in range(n_thresholds) for kind in ("tp", "fp")}
+    return rising_runs(placed, ["class_id", "area_range"], SLICE_COLUMNS, "row", sums)
+
+
+def _truth_lookup(truth_counts: DataFrame) -> Column:
+    """``n_truths`` of a row's class and area range, NULL without truths; the counts are one row."""
+    entry = F.struct(F.struct("class_id", "area_range").alias("k"), F.col("n_truths").alias("v"))
+    lookup = truth_counts.filter(F.col("class_id").isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    return F.try_element_at(lookup.scalar(), F.struct("class_id", "area_range"))
 
 
 def pr_curve(matches: DataFrame, truth_counts: DataFrame, threshold_no: int = 0) -> DataFrame:
     """Every ranked prediction with running counts, precision, recall and the best precision at or after it."""
-    hits = cumulative_hits(matches, threshold_no + 1)
+    n_truths = _truth_lookup(truth_counts)
+    hits = cumulative_hits(matches.filter(n_truths.isNotNull()), threshold_no + 1)
     tp, fp = F.col(f"ctp{threshold_no}"), F.col(f"cfp{threshold_no}")
-    rows = hits.filter(F.get("ignored", F.lit(threshold_no)) == 0).join(truth_counts, ["class_id", "area_range"]).select(
-        "class_id", "area_range", "image_id", "det_id", "det_rank", "confidence", tp.alias("ctp"), fp.alias("cfp"),
-        (tp / (tp + fp)).alias("precision"), (tp / F.col("n_truths")).alias("recall"),
-    )
-    ready, slices = _score_slices(rows, None, ascending=True)
-    order = [F.col("_key"), F.col("_tie"), -F.col("det_rank")]
-    return running_max(ready, ["class_id", "area_range"], slices, order, {"envelope": F.col("precision")}).drop("_key", "_tie", *SLICE_COLUMNS)
+    ranked = hits.filter(F.expr(f"(shiftright(row._skip, {threshold_no}) & 1) = 0"))
+    rows = ranked.withColumns({"ctp": tp, "cfp": fp, "precision": tp / (tp + fp), "recall": tp / n_truths})
+    curve = rising_runs(rows, ["class_id", "area_range"], SLICE_COLUMNS, "row", {"envelope": F.col("precision")}, F.max, backward=True)
+    return curve.select("class_id", "area_range", "row.image_id", "row.det_id", "row.det_rank", "row.confidence", "ctp", "cfp", "precision", "recall", "envelope")
 
 
 def _recall_point(recall: Column) -> Column:
@@ -68,16 +76,16 @@ def precision_table(
     (map-side combined, at most 101 per curve) replaces a second pass over the sorted predictions.
     """
     n = len(thresholds)
-    hits = cumulative_hits(matches, n, source)
+    n_truths = _truth_lookup(truth_counts)
+    hits = cumulative_hits(matches.filter(n_truths.isNotNull()), n, source)
     per_threshold = F.array(*[
-        F.when(F.get("tp", F.lit(i)) == 1, F.struct(F.lit(i).alias("thr_no"), F.col(f"ctp{i}").alias("ctp"), F.col(f"cfp{i}").alias("cfp")))
+        F.when(F.expr(f"(shiftright(row._tp, {i}) & 1) = 1"), F.struct(F.lit(i).alias("thr_no"), F.col(f"ctp{i}").alias("ctp"), F.col(f"cfp{i}").alias("cfp")))
         for i in range(n)
     ])
     curve = ["class_id", "area_range", "thr_no"]
-    points = hits.select("class_id", "area_range", "confidence", F.inline(F.array_compact(per_threshold))).join(
-        truth_counts, ["class_id", "area_range"]
-    ).withColumns({
-        "precision": F.col("ctp") / (F.col("ctp") + F.col("cfp")), "segment": _recall_point(F.col("ctp") / F.col("n_truths")),
+    each = hits.select("class_id", "area_range", "row.confidence", F.inline(F.array_compact(per_threshold)))
+    points = each.withColumns({
+        "precision": F.col("ctp") / (F.col("ctp") + F.col("cfp")), "segment": _recall_point(F.col("ctp") / n_truths),
     })
     segments = points.groupBy(*curve, "segment").agg(
         F.max("precision").alias("precision"), F.max("confidence").alias("score"), F.max("ctp").alias("ctp"))

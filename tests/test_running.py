@@ -61,3 +61,26 @@ def test_trailing_windows_cross_blocks(skewed):
     assert len(out) == len(pdf)
     want = pdf.groupby("k").v.rolling(20, min_periods=1).mean().reset_index(0, drop=True).sort_index()
     np.testing.assert_allclose(out.a, want)
+
+
+def test_small_groups_are_numbered_in_one_shuffle_and_crowded_ones_by_slices(spark):
+    rows = [(0, i % 40, (i * 7919) % 9973) for i in range(3000)] + [(1 + i % 500, i % 7, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, a int, b int").repartition(8)
+    order = [F.col("a"), F.col("b")]
+    got = {tuple(r)[:3]: r.n for r in R.split_row_numbers(df, ["k"], order[:1], order, "n", limit=500).collect()}
+    seen = {}
+    for row in sorted(rows):
+        seen[row[0]] = seen.get(row[0], 0) + 1
+        assert got[row] == seen[row[0]]
+    crowd = {r.k for r in df.filter(R.crowd_test(df, ["k"], 500)).select("k").distinct().collect()}
+    assert 0 in crowd and len(crowd) < 5
+
+
+def test_rising_runs_forward_and_backward(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 100).alias("s"), F.struct("id").alias("row"), (F.col("id") % 13).alias("v"))
+    up = R.rising_runs(df, ["k"], ["s"], "row", {"n": F.lit(1), "top": F.lit(0)}).select("k", "s", "row", "v", "n")
+    down = R.rising_runs(up, ["k"], ["s"], "row", {"m": F.col("v") + F.col("row.id")}, F.max, backward=True)
+    assert all(r.n == r.row.id // 2 + 1 for r in up.collect())
+    rows = down.collect()
+    for r in rows[::97]:
+        assert r.m == max(x.v + x.row.id for x in rows if x.k == r.k and x.row.id >= r.row.id)
