@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,6 +236,90 @@ def _assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
+def _assign_many(costs: np.ndarray) -> np.ndarray:
+    """Columns of minimum-cost assignments of many problems of one shape, rows <= columns: ``costs`` is (problems, n, m), the result (problems, n).
+
+    The steps of ``_assign`` for all problems at once; a problem that found its free column waits for the others.
+    """
+    count, n, m = costs.shape
+    every = np.arange(count)
+    u, v = np.zeros((count, n)), np.zeros((count, m))
+    owner = np.full((count, m), -1)
+    for start in range(n):
+        dist, came, done = np.full((count, m), np.inf), np.full((count, m), -1), np.zeros((count, m), bool)
+        row, col, base, last = np.full(count, start), np.full(count, -1), np.zeros(count), np.full(count, -1)
+        at = every
+        while len(at):
+            reduced = base[at, None] + costs[at, row[at]] - u[at, row[at]][:, None] - v[at]
+            better = ~done[at] & (reduced < dist[at])
+            dist[at] = np.where(better, reduced, dist[at])
+            came[at] = np.where(better, col[at][:, None], came[at])
+            best = np.argmin(np.where(done[at], np.inf, dist[at]), axis=1)
+            col[at], base[at] = best, dist[at, best]
+            done[at, best] = True
+            taken = owner[at, best]
+            last[at[taken < 0]] = best[taken < 0]
+            at, taken = at[taken >= 0], taken[taken >= 0]
+            row[at] = taken
+        which, settled = np.nonzero(done & (owner >= 0))
+        u[which, owner[which, settled]] += base[which] - dist[which, settled]
+        which, reached = np.nonzero(done)
+        v[which, reached] -= base[which] - dist[which, reached]
+        u[:, start] += base
+        at = every
+        while len(at):
+            here = last[at]
+            prev = came[at, here]
+            owner[at, here] = np.where(prev < 0, start, owner[at, prev])
+            last[at] = prev
+            at = at[prev >= 0]
+    cols = np.empty((count, n), int)
+    which, reached = np.nonzero(owner >= 0)
+    cols[which, owner[which, reached]] = reached
+    return cols
+
+
+def _places(problem: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every id among the distinct ids of its problem, and how many those are per problem."""
+    order = np.lexsort((ids, problem))
+    p, i = problem[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (p[1:] != p[:-1]) | (i[1:] != i[:-1])
+    sizes = np.bincount(p[new], minlength=count)
+    place = np.empty(len(order), int)
+    place[order] = np.cumsum(new) - 1 - (np.cumsum(sizes) - sizes)[p]
+    return place, sizes
+
+
+def _solved(problem: np.ndarray, q: np.ndarray, t: np.ndarray, cost: np.ndarray, count: int) -> np.ndarray:
+    """Indices of the chosen rows; the problems of one shape are solved together, up to 2,000,000 costs at a time."""
+    qi, n = _places(problem, q, count)
+    ti, m = _places(problem, t, count)
+    turned = n > m
+    a, b = np.where(turned[problem], ti, qi), np.where(turned[problem], qi, ti)
+    few, many = np.minimum(n, m), np.maximum(n, m)
+    chosen = []
+    by_problem = np.argsort(problem, kind="stable")
+    ends = np.cumsum(np.bincount(problem, minlength=count))
+    for rows, cols in np.unique(np.stack([few, many], axis=1), axis=0):
+        same = np.flatnonzero((few == rows) & (many == cols))
+        step = max(1, 2_000_000 // max(1, int(rows * cols)))
+        for part in (same[i:i + step] for i in range(0, len(same), step)):
+            lengths = ends[part] - np.concatenate([[0], ends])[part]
+            local = np.repeat(np.arange(len(part)), lengths)
+            offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = by_problem[np.concatenate([[0], ends])[part][local] + offset]
+            matrix, where = np.full((len(part), rows, cols), 1e12), np.full((len(part), rows, cols), -1)
+            matrix[local, a[at], b[at]], where[local, a[at], b[at]] = cost[at], at
+            if len(part) == 1:
+                r, c = _assign(matrix[0])
+                chosen.append(where[0, r, c])
+            else:
+                chosen.append(np.take_along_axis(where, _assign_many(matrix)[:, :, None], 2).ravel())
+    found = np.concatenate(chosen) if chosen else np.zeros(0, int)
+    return found[found >= 0]
+
+
 def assign_targets(costs: DataFrame, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Minimum-cost 1:1 assignment per problem (equal ``by`` columns, whole numbers) over ``match_costs`` rows.
 
@@ -256,24 +340,20 @@ def assign_targets(costs: DataFrame, by: Sequence[str] = ("image_id",)) -> DataF
     grouped = needed.groupBy(*by).agg(F.collect_list(F.struct("query_id", "target_id", "cost")).alias("c"))
     flat = grouped.select(*by, F.col("c.query_id").alias("q"), F.col("c.target_id").alias("t"), F.col("c.cost").alias("cost"))
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, qs, ts, cs = [], [], [], []
-            for i, (q, t, c) in enumerate(zip(batch.q, batch.t, batch.cost)):
-                q_ids, qi = np.unique(q, return_inverse=True)
-                t_ids, ti = np.unique(t, return_inverse=True)
-                matrix = np.full((len(q_ids), len(t_ids)), 1e12)
-                matrix[qi, ti] = c
-                rows, cols = _assign(matrix)
-                keys.append(np.full(len(rows), i))
-                qs.append(q_ids[rows]), ts.append(t_ids[cols]), cs.append(matrix[rows, cols])
-            if keys:
-                at = np.concatenate(keys)
-                yield pd.DataFrame({**{c: batch[c].to_numpy()[at] for c in by}, "query_id": np.concatenate(qs),
-                                    "target_id": np.concatenate(ts), "cost": np.concatenate(cs)})
+            if not batch.num_rows:
+                continue
+            lists = [batch.column(c) for c in ("q", "t", "cost")]
+            problem = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy())
+            q, t, cost = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            at = _solved(problem, q, t, cost, batch.num_rows)
+            owner = pa.array(problem[at])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(owner) for c in by], *[pa.array(x[at]) for x in (q, t, cost)]], names=[*by, "query_id", "target_id", "cost"])
 
     columns = ", ".join(f"{c} {kinds[c]}" for c in (*by, "query_id", "target_id"))
-    return flat.mapInPandas(solve, f"{columns}, cost double")
+    return flat.mapInArrow(solve, f"{columns}, cost double")
 
 
 def assign_query_groups(queries: DataFrame, targets: DataFrame, group: str = "query_group", block: int = 512, **weights: float) -> DataFrame:

@@ -157,3 +157,23 @@ def test_query_groups_with_a_crowded_image(spark):
         matrix = np.array([[cost[image, a, b] for b in ts] for a in qs])
         i, j = M._assign(matrix)
         assert abs(sum(r[2] for r in rows) - matrix[i, j].sum()) < 1e-9
+
+
+def test_problems_solved_together_cost_what_each_costs_alone():
+    from fieldlens.operators.matching import _assign, _solved
+
+    rng = np.random.default_rng(11)
+    problem, q, t, cost, want = [], [], [], [], 0.0
+    for k in range(300):
+        n, m = rng.integers(1, 7, 2)
+        c = np.round(rng.random((n, m)), 1 + k % 3)
+        rows, cols = _assign(c)
+        want += c[rows, cols].sum()
+        problem += [k] * (n * m)
+        q += list(np.repeat(rng.permutation(50)[:n], m)); t += list(np.tile(rng.permutation(50)[:m], n)); cost += list(c.ravel())
+    mixed = rng.permutation(len(cost))
+    problem, q, t, cost = (np.array(x)[mixed] for x in (problem, q, t, cost))
+    at = _solved(problem, q, t, cost, 300)
+    assert abs(cost[at].sum() - want) < 1e-9
+    for ids in (q, t):
+        assert len(set(zip(problem[at], ids[at]))) == len(at)
