@@ -316,3 +316,20 @@ def test_table_functions(spark):
     points = spark.sql("select sy, sx, x, y from (select -4D as x1, 1D as y1, 6D as x2, 50D as y2) b, lateral roi_points(x1, y1, x2, y2, 10D, 9D, 2)").collect()
     assert sorted(map(tuple, points)) == [(0, 0, 1.5, 3.0), (0, 1, 4.5, 3.0), (1, 0, 1.5, 7.0), (1, 1, 4.5, 7.0)]
     assert spark.sql("select * from roi_points(cast(null as double), 1D, 6D, 50D, 10D, 9D, 2)").count() == 0
+
+
+def test_previews_of_a_batch_hold_few_lines_as_python_strings(monkeypatch):
+    import pyarrow as pa
+
+    from fieldlens.functions import kernels as K
+
+    n, live = 600, []
+    real = K.ascii_preview
+    monkeypatch.setattr(K, "ascii_preview", lambda *a: live.append(1) or real(*a))
+    made = []
+    array = pa.array
+    monkeypatch.setattr(K.pa, "array", lambda x, *a: made.append(len(x)) or array(x, *a))
+    mask = array([[i % 2] * 32 + [0] * 32 for i in range(n)], pa.list_(pa.int32()))
+    out = K._previews(mask, array([8] * n), array([8] * n)).to_pylist()
+    assert len(out) == len(live) == n and max(made) <= 128 and out[0] != out[1] and out[1] == out[599]
+    assert K._previews(mask.slice(0, 0), array([], pa.int32()), array([], pa.int32())).to_pylist() == []
