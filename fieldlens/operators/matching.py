@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldlens.functions import geometry as G
 from fieldlens.functions.geometry import Box
 from fieldlens.operators.decode import sigmoid
+from fieldlens.operators.running import crowd_test
 from fieldlens.operators.selection import top_k
 from fieldlens.schemas import AREA_RANGES, IOU_THRESHOLDS
 
@@ -76,6 +78,10 @@ def accepted_matches(pred: DataFrame, truth: DataFrame, on, pred_id: str, truth_
 
 # ---- exclusive greedy matching -------------------------------------------------------------------------------------
 
+LANES = 62  # most (area range, threshold) pairs whose flags share one long
+CROWD = 4_096  # ground truths of an image whose boxes are compared in one row; images that may hold more are spread by tiles
+
+
 def greedy_matches(
     preds: DataFrame,
     truths: DataFrame,
@@ -92,13 +98,148 @@ def greedy_matches(
     Overlap with a crowd is measured against the area of the prediction alone.
 
     Output: one row per (prediction, area range) with ``tp`` and ``ignored`` arrays over the thresholds.
+    """
+    n = len(thresholds)
+    if len(areas) * n > LANES:
+        return _tiled_matches(_ranked(preds, max_dets), _with_crowd(truths), thresholds, areas, max_dets)
+    packed = match_bits(preds, truths, thresholds, areas, max_dets)
+    flags = lambda name, k: F.array(*[F.shiftright(name, k * n + i).bitwiseAND(F.lit(1)).cast("int") for i in range(n)]).alias(name)
+    per_area = [F.struct(F.lit(a).alias("area_range"), flags("tp", k), flags("ignored", k)) for k, a in enumerate(areas)]
+    return packed.select("image_id", "class_id", "det_id", "det_rank", "confidence", F.inline(F.array(*per_area)))
+
+
+def match_bits(
+    preds: DataFrame, truths: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, areas: Sequence[str] = ("all",), max_dets: int = 100,
+) -> DataFrame:
+    """``greedy_matches`` as one row per prediction: ``tp`` and ``ignored`` hold bit k * len(thresholds) + i for area range k and threshold i.
+
+    The boxes of an image and class are gathered by one aggregate and matched inside that row. Images that may hold more than ``CROWD``
+    ground truths (told by a count of hash buckets) are matched over tiles instead.
+    """
+    if len(areas) * len(thresholds) > LANES:
+        raise ValueError(f"at most {LANES} pairs of area range and threshold")
+    on = ["image_id", "class_id"]
+    ranked, truths = _ranked(preds, max_dets), _with_crowd(truths)
+    double = [F.col(c).cast("double").alias(c) for c in _BOX]
+    found = F.struct("det_rank", "det_id", F.col("confidence"), *double)
+    truth = F.struct(F.col("det_id").cast("bigint").alias("gt_id"), F.col("iscrowd").cast("int").alias("crowd"), *double)
+    kinds, of_truths = dict(ranked.select("det_id", "confidence", found.alias("p")).dtypes), dict(truths.select(truth.alias("t")).dtypes)
+    of_preds = ranked.select(*on, found.alias("p"), F.lit(None).cast(of_truths["t"]).alias("t"))
+    both = of_preds.unionByName(truths.select(*on, F.lit(None).cast(kinds["p"]).alias("p"), truth.alias("t")))
+    same = lambda d: d.withColumn("image_id", F.col("image_id").cast(dict(both.dtypes)["image_id"]))
+    crowded = crowd_test(same(truths.select("image_id")), ["image_id"], CROWD)
+    grouped = both.filter(~crowded).groupBy(*on).agg(F.collect_list("p").alias("p"), F.collect_list("t").alias("t")).filter(F.size("p") > 0)
+    flat = grouped.select(*on, *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("det_rank", "det_id", "confidence", *_BOX)],
+                          *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("gt_id", "crowd", *_BOX)])
+    ranges = [AREA_RANGES[n] for n in areas]
+    levels = [float(t) for t in thresholds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                owner, tp, ignored = _greedy_batch(batch, levels, ranges)
+                rank, ids, confidence = (batch.column(f"p_{c}").flatten() for c in ("det_rank", "det_id", "confidence"))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(owner)) for c in on], ids, rank, confidence, pa.array(tp), pa.array(ignored)],
+                                                 names=[*on, "det_id", "det_rank", "confidence", "tp", "ignored"])
+
+    types = {**dict(both.dtypes), **kinds}
+    schema = ", ".join([f"{c} {types[c]}" for c in (*on, "det_id")] + ["det_rank int", f"confidence {types['confidence']}", "tp bigint", "ignored bigint"])
+    ordinary = flat.mapInArrow(run, schema)
+    n = len(thresholds)
+    long = _tiled_matches(same(ranked).filter(crowded), same(truths).filter(crowded), thresholds, areas, max_dets)
+    bits = lambda name, k: sum((F.get(name, F.lit(i)).cast("bigint") * F.lit(1 << (k * n + i)) for i in range(n)), F.lit(0).cast("bigint"))
+    packed = lambda name: F.bit_or(reduce(lambda rest, k: F.when(F.col("area_range") == areas[k], bits(name, k)).otherwise(rest), range(len(areas)), F.lit(0).cast("bigint"))).alias(name)
+    spread = long.groupBy(*on, "det_rank").agg(F.first("det_id").alias("det_id"), F.first("confidence").alias("confidence"), packed("tp"), packed("ignored"))
+    return ordinary.unionByName(spread)
+
+
+def _ranked(preds: DataFrame, max_dets: int) -> DataFrame:
+    return top_k(preds, ["image_id", "class_id"], [F.col("confidence").desc(), F.col("det_id")], max_dets, rank="det_rank")
+
+
+def _with_crowd(truths: DataFrame) -> DataFrame:
+    return truths if "iscrowd" in truths.columns else truths.withColumn("iscrowd", F.lit(0))
+
+
+_PAIRS = 1_000_000  # pairs of boxes compared at a time
+
+
+def _overlaps(p: dict, t: dict, p_sizes: np.ndarray, t_sizes: np.ndarray, lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction, truth, overlap) of the pairs of each problem with overlap at or above ``lowest``; numbers are places in the batch."""
+    p_ends, t_starts = np.cumsum(p_sizes), np.cumsum(t_sizes) - t_sizes
+    partners, first = np.repeat(t_sizes, p_sizes), np.repeat(t_starts, p_sizes)
+    ends, found = np.cumsum(partners), []
+    at = 0
+    while at < len(partners):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        count = partners[at:upto]
+        i = np.repeat(np.arange(at, upto), count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[at:upto], count)
+        w = np.minimum(p["x2"][i], t["x2"][j]) - np.maximum(p["x1"][i], t["x1"][j])
+        h = np.minimum(p["y2"][i], t["y2"][j]) - np.maximum(p["y1"][i], t["y1"][j])
+        inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+        whole = p["area"][i] + t["area"][j] - inter
+        near = p["proper"][i] & t["proper"][j] & (inter > 0) & (whole > 0)
+        i, j, inter, whole = i[near], j[near], inter[near], whole[near]
+        overlap = inter / np.where(t["crowd"][j], p["area"][i], whole)
+        enough = overlap >= lowest
+        found.append((i[enough], j[enough], overlap[enough]))
+        at = upto
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _greedy_batch(batch: pa.RecordBatch, thresholds: Sequence[float], ranges: Sequence[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tp bits, ignored bits) of every prediction of rows that hold the boxes of one problem each, all problems of the batch at once."""
+    sizes = lambda c: np.diff(batch.column(c).offsets.to_numpy())
+    p_sizes, t_sizes = sizes("p_det_rank"), sizes("t_gt_id")
+
+    def side(prefix: str) -> dict:
+        d = {c: batch.column(f"{prefix}_{c}").flatten().to_numpy(zero_copy_only=False).astype(float) for c in _BOX}
+        d["proper"] = (d["x2"] >= d["x1"]) & (d["y2"] >= d["y1"])
+        d["area"] = (d["x2"] - d["x1"]) * (d["y2"] - d["y1"])
+        return d
+
+    p, t = side("p"), side("t")
+    rank = batch.column("p_det_rank").flatten().to_numpy(zero_copy_only=False)
+    t["crowd"] = batch.column("t_crowd").flatten().fill_null(0).to_numpy(zero_copy_only=False) == 1
+    gt = batch.column("t_gt_id").flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    place, distinct = _places(np.repeat(np.arange(batch.num_rows), t_sizes), gt, batch.num_rows)
+    code = place + np.repeat(np.cumsum(distinct) - distinct, t_sizes)  # equal ids of a problem are one ground truth
+    levels = np.array(thresholds)
+    n = len(levels)
+    i, j, overlap = _overlaps(p, t, p_sizes, t_sizes, levels.min())
+    lane = np.left_shift(np.int64(1), np.arange(n))
+    tp, ignored = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+    for k, (lo, hi) in enumerate(ranges):
+        off = t["crowd"] | (t["area"] < lo) | (t["area"] > hi)
+        order = np.lexsort((t["crowd"][j], -gt[j], -overlap, off[j], i, rank[i]))
+        a, b, v = i[order], j[order], overlap[order]
+        taken = np.zeros((int(distinct.sum()), n), bool)
+        hit, skipped = np.zeros((len(rank), n), bool), np.zeros((len(rank), n), bool)
+        skipped[(p["area"] < lo) | (p["area"] > hi)] = True
+        cuts = np.flatnonzero(np.diff(rank[a], prepend=-1))
+        for start, stop in zip(cuts, [*cuts[1:], len(a)]):
+            rows = slice(start, stop)
+            free = (v[rows, None] >= levels) & (t["crowd"][b[rows], None] | ~taken[code[b[rows]]])
+            heads = np.flatnonzero(np.diff(a[rows], prepend=-1))
+            first = np.minimum.reduceat(np.where(free, np.arange(stop - start)[:, None], stop), heads, axis=0)
+            d, l = np.nonzero(first < stop)
+            truth, pred = b[rows][first[d, l]], a[rows][heads][d]
+            taken[code[truth], l] = True
+            hit[pred, l], skipped[pred, l] = ~off[truth], off[truth]
+        tp |= (hit * lane).sum(axis=1) << (k * n)
+        ignored |= (skipped * lane).sum(axis=1) << (k * n)
+    return np.repeat(np.arange(batch.num_rows), p_sizes), tp, ignored
+
+
+def _tiled_matches(ranked: DataFrame, truths: DataFrame, thresholds: Sequence[float], areas: Sequence[str], max_dets: int) -> DataFrame:
+    """``greedy_matches`` of ranked predictions over joins by tile.
 
     A prediction can be refused at most ``max_dets - 1`` ground truths by others, so its ``max_dets`` best ones per
     kind are always enough; that bounds every group whatever the number of ground truths in an image.
     """
-    if "iscrowd" not in truths.columns:
-        truths = truths.withColumn("iscrowd", F.lit(0))
-    ranked = top_k(preds, ["image_id", "class_id"], [F.col("confidence").desc(), F.col("det_id")], max_dets, rank="det_rank")
     lowest = min(thresholds)
     on = ["image_id", "class_id"]
     pairs = overlap_pairs(

@@ -177,3 +177,21 @@ def test_problems_solved_together_cost_what_each_costs_alone():
     assert abs(cost[at].sum() - want) < 1e-9
     for ids in (q, t):
         assert len(set(zip(problem[at], ids[at]))) == len(at)
+
+
+@pytest.mark.parametrize("limit", [4096, 10])
+def test_match_bits_inside_rows_and_over_tiles(spark, monkeypatch, limit):
+    """One row per prediction, no boxes shuffled by tile for ordinary images; crowded images give the same flags over tiles."""
+    rng = np.random.default_rng(15)
+    p, t = boxes(rng, 150, span=150, big=120), boxes(rng, 90, span=150, big=120)
+    t["iscrowd"] = (rng.random(len(t)) < 0.15).astype(np.int32)
+    thresholds, areas = (0.5, 0.75), tuple(AREA_RANGES)
+    monkeypatch.setattr(M, "CROWD", limit)
+    got = {r.det_id: (r.tp, r.ignored) for r in M.match_bits(spark.createDataFrame(p), spark.createDataFrame(t), thresholds, areas).collect()}
+    assert len(got) == len(p)
+    for (image, cls), ps in p.groupby(["image_id", "class_id"]):
+        ts = t[(t.image_id == image) & (t.class_id == cls)]
+        for k, area in enumerate(areas):
+            for i, thr in enumerate(thresholds):
+                for d, flags in greedy(ps, ts, thr, area).items():
+                    assert tuple(x >> (k * 2 + i) & 1 for x in got[d]) == flags
