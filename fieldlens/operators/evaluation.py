@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry as G
 from fieldlens.functions.geometry import Box
 from fieldlens.operators.decode import sigmoid
-from fieldlens.operators.matching import counting_truths, greedy_matches
+from fieldlens.operators.matching import LANES, counting_truths, greedy_matches, match_bits
 from fieldlens.operators.running import SLICE_COLUMNS, average_ranks, rising_runs, running_sums, split_slices, value_slices
 from fieldlens.schemas import IOU_THRESHOLDS, MAX_DETECTIONS, RECALL_POINTS
 
@@ -59,42 +61,119 @@ def pr_curve(matches: DataFrame, truth_counts: DataFrame, threshold_no: int = 0)
     return curve.select("class_id", "area_range", "row.image_id", "row.det_id", "row.det_rank", "row.confidence", "ctp", "cfp", "precision", "recall", "envelope")
 
 
-def _recall_point(recall: Column) -> Column:
+def _recall_points(recall: np.ndarray) -> np.ndarray:
     """Highest recall point at or below ``recall`` (points are j/100)."""
-    j = F.floor(recall * (RECALL_POINTS - 1))
-    at = lambda n: n * F.lit(0.01)
-    best = F.when(at(j + 1) <= recall, j + 1).when(at(j) <= recall, j).otherwise(j - 1)
-    return F.least(best, F.lit(RECALL_POINTS - 1)).cast("int")
+    j = np.floor(recall * (RECALL_POINTS - 1))
+    best = np.where((j + 1) * 0.01 <= recall, j + 1, np.where(j * 0.01 <= recall, j, j - 1))
+    return np.minimum(best, RECALL_POINTS - 1).astype("i4")
 
 
-def precision_table(
-    matches: DataFrame, truth_counts: DataFrame, thresholds: Sequence[float], source: DataFrame | None = None
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Rows by falling confidence, image, rank and id; nulls first."""
+    keys = []
+    for c in ("det_id", "det_rank", "_tie", "_key"):
+        column = rows.column(c).combine_chunks()
+        keys += [column.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(column.is_valid())]
+    return rows.take(pa.array(np.lexsort(keys)))
+
+
+def _segments(rows: pa.Table, lanes: int, before_tp: list, before_fp: list, truths: list) -> dict[str, np.ndarray]:
+    """Best precision, best score and count of true positives per lane and recall segment, for one slice of a curve.
+
+    Bit i of ``_tp`` and ``_fp`` belongs to lane i; ``before_*`` are the counts of the earlier slices, ``truths`` those of a lane (None: no curve).
+    """
+    rows = _in_order(rows)
+    tp_bits, fp_bits = (rows.column(c).to_numpy() for c in ("_tp", "_fp"))
+    scores = rows.column("confidence").to_numpy().astype(float)
+    known = np.asarray(rows.column("confidence").combine_chunks().is_valid())
+    parts = []
+    for lane in range(lanes):
+        at = np.flatnonzero(tp_bits >> lane & 1)
+        if truths[lane] is None or not len(at):
+            continue
+        ctp = before_tp[lane] + np.arange(1, len(at) + 1)
+        cfp = before_fp[lane] + np.cumsum(fp_bits >> lane & 1)[at]
+        segment = _recall_points(ctp / truths[lane])
+        heads = np.flatnonzero(np.diff(segment, prepend=-1))
+        score = np.maximum.reduceat(np.where(known[at], scores[at], -np.inf), heads)
+        some = np.logical_or.reduceat(known[at], heads)
+        parts.append((np.full(len(heads), lane, "i4"), segment[heads], np.maximum.reduceat(ctp / (ctp + cfp), heads), score, some,
+                      np.maximum.reduceat(ctp, heads)))
+    names = ("lane", "segment", "precision", "score", "_scored", "ctp")
+    return dict(zip(names, map(np.concatenate, zip(*parts)))) if parts else {}
+
+
+def _bit_totals(bits: np.ndarray, lanes: int) -> np.ndarray:
+    return np.array([np.count_nonzero(bits >> i & 1) for i in range(lanes)], np.int64)
+
+
+def _sliced(live: DataFrame, group: Sequence[str], lanes: int, source: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their slice of the score, and the totals of the slices.
+
+    Totals: true and false positives of each lane, and the true ones of the first ``MAX_DETECTIONS`` of an image, lane by lane for each limit.
+    Both are read as whole rows by group and slice, so that one shuffle serves all uses.
+    """
+    group = list(group)
+    ready, _ = _score_slices(live, source, ascending=False)
+    keys = [*group, *SLICE_COLUMNS]
+    placed = ready.select(*keys, F.col("_key").cast("double").alias("_key"), "_tie", "det_rank", "det_id", "confidence", "_tp", "_fp")
+    types = dict(placed.dtypes)
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        tp, fp, rank = (rows.column(c).to_numpy() for c in ("_tp", "_fp", "det_rank"))
+        found = np.concatenate([_bit_totals(tp[rank <= m], lanes) for m in MAX_DETECTIONS])
+        sums = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (_bit_totals(tp, lanes), _bit_totals(fp, lanes), found)]
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key], *sums], names=[*keys, "_tp", "_fp", "_found"])
+
+    schema = ", ".join([f"{c} {types[c]}" for c in keys] + [f"{c} array<bigint>" for c in ("_tp", "_fp", "_found")])
+    return placed, placed.groupBy(*keys).applyInArrow(count, schema)
+
+
+def _interpolated(
+    placed: DataFrame, totals: DataFrame, group: Sequence[str], lanes: Sequence[tuple[str | None, int]], truth_counts: DataFrame,
+    thresholds: Sequence[float], tops: DataFrame,
 ) -> DataFrame:
-    """Interpolated precision and score at every recall point, per class, area range and threshold.
+    """Precision table of ``_sliced`` rows with the flags of lane i, an (area range, threshold number), in bit i of ``_tp`` and ``_fp``.
 
-    Interpolated precision at a point is the best precision at or beyond it, so a maximum per recall segment
-    (map-side combined, at most 101 per curve) replaces a second pass over the sorted predictions.
+    Each slice is sorted and summed as one Arrow table from the totals of the slices before it. ``group`` is the class, and the area range
+    unless the lanes name it; ``tops`` holds the predictions of the best score.
     """
-    n = len(thresholds)
-    n_truths = _truth_lookup(truth_counts)
-    hits = cumulative_hits(matches.filter(n_truths.isNotNull()), n, source)
-    per_threshold = F.array(*[
-        F.when(F.expr(f"(shiftright(row._tp, {i}) & 1) = 1"), F.struct(F.lit(i).alias("thr_no"), F.col(f"ctp{i}").alias("ctp"), F.col(f"cfp{i}").alias("cfp")))
-        for i in range(n)
-    ])
+    group = list(group)
+    keys = [*group, *SLICE_COLUMNS]
+    n = len(lanes)
+    before = Window.partitionBy(*group).orderBy(*SLICE_COLUMNS).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))).over(before), F.lit(0)) for i in range(n)]).alias(c)
+    entry = F.struct(F.struct("class_id", "area_range").alias("k"), F.col("n_truths").alias("v"))
+    lookup = truth_counts.filter(F.col("class_id").isNotNull()).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    area = lambda name: F.col("area_range") if name is None else F.lit(name)
+    truths = F.array(*[F.try_element_at(F.col("_m"), F.struct(F.col("class_id"), area(name).alias("area_range"))) for name, _ in lanes])
+    bases = totals.select(*keys, carried("_tp"), carried("_fp")).withColumn("_m", lookup).select(
+        *[F.col(k).alias(f"_of{k}") for k in keys], "_tp", "_fp", truths.alias("_truths"))
+    types = dict(placed.dtypes)
+    names = ["lane", "segment", "precision", "score", "ctp"]
+
+    def run(key: tuple, rows: pa.Table, base: pa.Table) -> pa.Table:
+        found = _segments(rows, n, *(base.column(c)[0].as_py() for c in ("_tp", "_fp", "_truths"))) if rows.num_rows and base.num_rows else {}
+        size = len(found.get("lane", ()))
+        held = [pa.array([k.as_py()] * size, k.type) for k in key[:len(group)]]
+        score = pa.array(found.get("score", np.zeros(0)), mask=~found.get("_scored", np.zeros(0, bool)))
+        kinds = {"lane": pa.int32(), "segment": pa.int32(), "precision": pa.float64(), "ctp": pa.int64()}
+        return pa.table([*held, *[score if c == "score" else pa.array(found.get(c, np.zeros(0)), kinds[c]) for c in names]], names=[*group, *names])
+
+    schema = ", ".join([f"{c} {types[c]}" for c in group] + ["lane int, segment int, precision double, score double, ctp bigint"])
+    points = placed.groupBy(*keys).cogroup(bases.groupBy(*[f"_of{k}" for k in keys])).applyInArrow(run, schema)
+    lane_of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("lane"))
+    if lanes[0][0] is not None:
+        points = points.withColumn("area_range", lane_of([name for name, _ in lanes]))
+    points = points.withColumn("thr_no", lane_of([i for _, i in lanes]))
     curve = ["class_id", "area_range", "thr_no"]
-    each = hits.select("class_id", "area_range", "row.confidence", F.inline(F.array_compact(per_threshold)))
-    points = each.withColumns({
-        "precision": F.col("ctp") / (F.col("ctp") + F.col("cfp")), "segment": _recall_point(F.col("ctp") / n_truths),
-    })
     segments = points.groupBy(*curve, "segment").agg(
-        F.max("precision").alias("precision"), F.max("confidence").alias("score"), F.max("ctp").alias("ctp"))
+        F.max("precision").alias("precision"), F.max("score").alias("score"), F.max("ctp").alias("ctp"))
     curves = segments.groupBy(*curve).agg(
         F.collect_list(F.struct("segment", "precision", "score")).alias("s"), F.max("ctp").alias("ctp"))
-    first = matches.groupBy("class_id", "area_range").agg(F.max("confidence").alias("top_score"))
-    listed = truth_counts.join(first, ["class_id", "area_range"], "left").withColumn(
-        "thr_no", F.explode(F.array(*[F.lit(i) for i in range(n)])))
-    full = listed.join(curves, curve, "left")
+    top = tops.groupBy(*group).agg(F.max("confidence").alias("top_score"))
+    listed_truths = truth_counts.join(top, group, "left").withColumn("thr_no", F.explode(F.array(*[F.lit(i) for i in range(len(thresholds))])))
+    full = listed_truths.join(curves, curve, "left")
     beyond = lambda j, field: F.coalesce(F.array_max(F.transform(
         F.filter("s", lambda e: e["segment"] >= j), lambda e: e[field])), F.lit(0.0))
     cells = F.transform(F.sequence(F.lit(0), F.lit(RECALL_POINTS - 1)), lambda j: F.struct(
@@ -105,11 +184,36 @@ def precision_table(
     return full.select(*curve, threshold.alias("threshold"), max_recall.alias("max_recall"), F.inline(cells))
 
 
+def precision_table(
+    matches: DataFrame, truth_counts: DataFrame, thresholds: Sequence[float], source: DataFrame | None = None
+) -> DataFrame:
+    """Interpolated precision and score at every recall point, per class, area range and threshold (at most ``LANES``).
+
+    Interpolated precision at a point is the best precision at or beyond it, so a maximum per recall segment
+    (at most 101 per slice of a curve) replaces a second pass over the sorted predictions. ``source`` is the plain prediction table, used for
+    the slice bounds only.
+    """
+    n = len(thresholds)
+    if n > LANES:
+        raise ValueError(f"at most {LANES} thresholds")
+    # By array functions: an expression for each threshold makes methods that the JVM does not compile.
+    bits = lambda flags: F.aggregate(F.reverse(F.slice(flags, 1, n)), F.lit(0).cast("bigint"), lambda s, v: s * 2 + v)
+    group = ["class_id", "area_range"]
+    live = matches.select(*group, "image_id", "det_id", "det_rank", "confidence", bits(F.col("tp")).alias("_tp"),
+                          bits(F.zip_with("tp", "ignored", lambda t, i: (1 - t) * (1 - i))).alias("_fp"))
+    lanes = [(None, i) for i in range(n)]
+    placed, totals = _sliced(live.filter(_truth_lookup(truth_counts).isNotNull()), group, n, source)
+    return _interpolated(placed, totals, group, lanes, truth_counts, thresholds, matches)
+
+
 def recall_by_limit(matches: DataFrame, truth_counts: DataFrame, n_thresholds: int, limits: Sequence[int] = MAX_DETECTIONS) -> DataFrame:
     """Mean recall over thresholds per class and area range when only the first ``limit`` detections count."""
     found = [F.sum(F.when(F.col("det_rank") <= m, F.aggregate("tp", F.lit(0), lambda s, v: s + v))).alias(f"_f{m}") for m in limits]
     sums = matches.groupBy("class_id", "area_range").agg(*found)
-    joined = truth_counts.join(sums, ["class_id", "area_range"], "left")
+    return _recall_shares(truth_counts.join(sums, ["class_id", "area_range"], "left"), n_thresholds, limits)
+
+
+def _recall_shares(joined: DataFrame, n_thresholds: int, limits: Sequence[int]) -> DataFrame:
     return joined.select("class_id", "area_range", *[
         (F.coalesce(F.col(f"_f{m}"), F.lit(0)) / (F.col("n_truths") * n_thresholds)).alias(f"ar_{m}") for m in limits])
 
@@ -140,9 +244,8 @@ def class_report(table: DataFrame, names: Column | None = None) -> DataFrame:
     f1 = F.try_divide(2 * F.col("precision") * recall, F.col("precision") + recall)
     macro = at50.groupBy("recall_no").agg(F.avg(f1).alias("f1"))
     best = macro.agg(F.max_by("recall_no", F.struct(F.coalesce("f1", F.lit(-1.0)), -F.col("recall_no"))).alias("j"))
-    best_no = best.scalar()
     here = (F.col("threshold") == 0.5) & (F.col("recall_no") == F.col("_j"))
-    marked = whole.withColumn("_j", best_no)
+    marked = whole.crossJoin(F.broadcast(best.select(F.col("j").alias("_j"))))  # one row; in the same plan, so that the shuffles below are made once
     stats = [
         F.avg("precision").alias("ap"), F.avg(F.when(F.col("threshold") == 0.5, F.col("precision"))).alias("ap50"),
         F.avg(F.when(here, F.col("precision"))).alias("precision"), F.max(F.col("_j") * F.lit(0.01)).alias("recall"),
@@ -158,11 +261,32 @@ def evaluate_detections(
 ) -> tuple[DataFrame, DataFrame]:
     """(precision table, recall table) of predictions against ground truths.
 
-    Nothing runs while the tables are declared. The match table feeds several aggregates; within one query its shuffles are reused.
+    Nothing runs while the tables are declared. The flags of all thresholds and area ranges stay in one row per prediction, so predictions are
+    ranked once; the match table feeds several aggregates, and within one query its shuffles are reused.
     """
-    matches = greedy_matches(preds, truths, thresholds, areas, max_dets)
+    n = len(thresholds)
     counts = counting_truths(truths, areas)
-    return precision_table(matches, counts, thresholds, preds), recall_by_limit(matches, counts, len(thresholds))
+    if n * len(areas) > LANES:
+        matches = greedy_matches(preds, truths, thresholds, areas, max_dets)
+        return precision_table(matches, counts, thresholds, preds), recall_by_limit(matches, counts, n)
+    matches = match_bits(preds, truths, thresholds, areas, max_dets)
+    whole = F.lit((1 << n * len(areas)) - 1)
+    live = matches.withColumns({"_tp": F.col("tp"), "_fp": F.bitwise_not(F.col("tp").bitwiseOR(F.col("ignored"))).bitwiseAND(whole)}).filter("(_tp | _fp) <> 0")
+    some = counts.filter(F.col("class_id").isNotNull()).agg(F.collect_set("class_id").alias("c")).scalar()
+    lanes = [(a, i) for a in areas for i in range(n)]
+    placed, totals = _sliced(live.filter(F.array_contains(some, F.col("class_id"))), ["class_id"], len(lanes), preds)
+    return _interpolated(placed, totals, ["class_id"], lanes, counts, thresholds, preds), _recalls(totals, counts, areas, n)
+
+
+def _recalls(totals: DataFrame, truth_counts: DataFrame, areas: Sequence[str], n: int) -> DataFrame:
+    """``recall_by_limit`` of the totals of slices."""
+    width = len(areas) * n
+    found = lambda k, m: F.sum(F.aggregate(F.slice("_found", m * width + k * n + 1, n), F.lit(0).cast("bigint"), lambda s, v: s + v))
+    limits = range(len(MAX_DETECTIONS))
+    sums = totals.groupBy("class_id").agg(*[found(k, m).alias(f"_f{m}_{k}") for k in range(len(areas)) for m in limits])
+    rows = sums.select("class_id", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("area_range"), *[F.col(f"_f{m}_{k}").alias(f"_f{MAX_DETECTIONS[m]}") for m in limits]) for k, a in enumerate(areas)])))
+    return _recall_shares(truth_counts.join(rows, ["class_id", "area_range"], "left"), n, MAX_DETECTIONS)
 
 
 # ---- losses over matched rows --------------------------------------------------------------------------------------

@@ -21,11 +21,12 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 def _flags(t: Tables, n: int = 10) -> DataFrame:
     """A match table made by a rule over the second run: tp and ignored flags per threshold."""
-    tp = F.array(*[((F.col("image_id") * 7 + F.col("det_id") * 3) % 11 > i).cast("int") for i in range(n)])
-    skip = (F.col("image_id") + F.col("det_id")) % 17 == 0
-    ignored = F.array(*[(skip & ((F.col("image_id") * 7 + F.col("det_id") * 3) % 11 <= i)).cast("int") for i in range(n)])
-    return t.candidate.select("image_id", "class_id", "det_id", F.col("det_id").alias("det_rank"), "confidence",
-                              F.lit("all").alias("area_range"), tp.alias("tp"), ignored.alias("ignored"))
+    rule = t.candidate.withColumns({"_v": (F.col("image_id") * 7 + F.col("det_id") * 3) % 11, "_skip": (F.col("image_id") + F.col("det_id")) % 17 == 0})
+    numbers = F.array(*[F.lit(i) for i in range(n)])
+    tp = F.transform(numbers, lambda i: (F.col("_v") > i).cast("int"))
+    ignored = F.transform(numbers, lambda i: (F.col("_skip") & (F.col("_v") <= i)).cast("int"))
+    return rule.select("image_id", "class_id", "det_id", F.col("det_id").alias("det_rank"), "confidence",
+                       F.lit("all").alias("area_range"), tp.alias("tp"), ignored.alias("ignored"))
 
 
 def _truth_counts(t: Tables) -> DataFrame:

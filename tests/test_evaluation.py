@@ -99,3 +99,15 @@ def test_matches_feed_report(case):
     report = {r["class"]: r for r in E.class_report(table).collect()}
     assert set(report) == {"0", "1", "all"}
     assert 0 <= report["all"].precision <= 1 and report["0"].recall == report["1"].recall
+
+
+def test_equal_scores_with_missing_ones(spark):
+    """One score for nearly all rows, and null scores first."""
+    rows = [(i % 50, i, 0, 0.5 if i % 10 else None, int(i % 3 > 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "image_id int, det_id int, class_id int, confidence double, hit int")
+    m = df.select("*", F.col("det_id").alias("det_rank"), F.lit("all").alias("area_range"), F.array("hit").alias("tp"), F.array(F.lit(0)).alias("ignored"))
+    truths = spark.createDataFrame([(0, "all", 4000)], "class_id int, area_range string, n_truths long")
+    got = [r.precision for r in E.precision_table(m, truths, (0.5,)).orderBy("recall_no").collect()]
+    order = sorted(rows, key=lambda r: (r[3] is not None, r[0], r[1]))
+    want, _, _ = interpolated([(r[4], 1 - r[4], 0.0) for r in order], 4000)
+    np.testing.assert_allclose(got, want, atol=1e-12)

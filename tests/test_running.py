@@ -84,3 +84,10 @@ def test_rising_runs_forward_and_backward(spark):
     rows = down.collect()
     for r in rows[::97]:
         assert r.m == max(x.v + x.row.id for x in rows if x.k == r.k and x.row.id >= r.row.id)
+
+
+def test_only_frequent_values_are_split_by_tie(spark):
+    """A value that is one quantile alone is no reason for a slice of its own for each tie bound."""
+    df = spark.range(20_000).select((F.col("id") % 1000).cast("double").alias("v"), "id")
+    ready, slices = R.split_slices(df, "v", "id", n=64)
+    assert ready.select(*slices).distinct().count() <= 64
