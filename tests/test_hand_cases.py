@@ -333,3 +333,24 @@ def test_previews_of_a_batch_hold_few_lines_as_python_strings(monkeypatch):
     out = K._previews(mask, array([8] * n), array([8] * n)).to_pylist()
     assert len(out) == len(live) == n and max(made) <= 128 and out[0] != out[1] and out[1] == out[599]
     assert K._previews(mask.slice(0, 0), array([], pa.int32()), array([], pa.int32())).to_pylist() == []
+
+
+def test_sample_points_are_those_of_the_table_function(spark):
+    from fieldlens.functions import geometry as G
+    from fieldlens.functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    boxes = spark.sql("select * from values (-4D, 1D, 6D, 50D, 10D, 9D), (2.5D, 3D, 2D, 3.1D, 10D, 9D), (cast(null as double), 1D, 6D, 50D, 10D, 9D) as t(x1, y1, x2, y2, width, height)")
+    got = boxes.select("x1", F.inline(G.sample_points(G.Box.of(), F.col("width"), F.col("height"), 3))).collect()
+    want = spark.sql("select b.x1, p.* from {b} b, lateral roi_points(x1, y1, x2, y2, width, height, 3) p", b=boxes).collect()
+    assert len(got) == 18 and sorted(got) == sorted(want)
+
+
+def test_only_detections_with_a_grid_pass_through_python(spark):
+    from fieldlens.operators import quality as Q
+
+    rows = spark.range(200).selectExpr("id as image_id", "0D as x1", "0D as y1", "4D as x2", "4D as y2", "8 as width", "8 as height")
+    maps = spark.range(3).selectExpr("id as image_id", "array_repeat(cast(id as double), 64) as g")
+    pooled = Q.pool_detections(rows, maps, 8, ["g"])
+    assert {r.image_id: r.roi_g for r in pooled.collect()} == {i: float(i) if i < 3 else None for i in range(200)}
+    assert "LeftAnti" in pooled._jdf.queryExecution().optimizedPlan().toString()
