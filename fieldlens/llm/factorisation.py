@@ -98,6 +98,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
     return m
 
 
+KEPT = 150_000  # words that a worker remembers; workers share the memory beside the heap
+
+
 class Words(dict):
     """Slots of a word by a fixed hash, remembered per worker up to a bound: {word: (slot, ...)}.
 
@@ -115,7 +118,7 @@ class Words(dict):
 
     def slots(self, words) -> np.ndarray:
         """Distinct slots of the words, ascending."""
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         found = set().union(*map(self.__getitem__, words))
         out = np.fromiter(found, "i8", len(found))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.llm.factorisation import Machine, Words, fit, in_fold, labelled_sample, score_column
+from fieldlens.llm.factorisation import KEPT, Machine, Words, fit, in_fold, labelled_sample, score_column
 from fieldlens.llm.store import documents
 
 WORD_BUCKETS = 1 << 17
@@ -46,7 +46,7 @@ class Features:
         words = text.split()
         n, size, dense = len(words), len(text), sum(map(len, words))
         distinct = set(text.lower().split())
-        if len(self.counts) > 500_000:
+        if len(self.counts) > KEPT:
             self.counts.clear()
         packed = sum(map(self.counts.__getitem__, words))
         letters, digits, upper, common = (packed >> k & (1 << 40) - 1 for k in (0, 40, 80, 120))

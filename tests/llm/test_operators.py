@@ -230,3 +230,14 @@ def test_word_ids_equal_library_on_odd_pieces():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(5000)]
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert ids.encode(texts) == want
+
+
+def test_remembered_words_stay_within_their_bound():
+    from fieldlens.llm import factorisation, quality, toxicity
+
+    features = [quality.Features(np.zeros(quality.SIZE, bool)), toxicity.Features(np.zeros(toxicity.SIZE, bool))]
+    for at in range(0, 400_000, 1000):
+        for f in features:
+            f(" ".join(f"w{i}" for i in range(at, at + 1000)), None)
+    most = factorisation.KEPT + 1000
+    assert len(features[0].words) <= most and len(features[0].counts) <= most and len(features[1].terms) <= most
