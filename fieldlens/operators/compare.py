@@ -87,7 +87,8 @@ def performance_table(sizes: DataFrame, timings: DataFrame, rollups: DataFrame)
         F.coalesce("cosine", F.lit(1.0)).alias("cosine"), F.coalesce("rmse", zero).alias("rmse"), F.coalesce("max_diff", zero).alias("max_diff"), "reduction_percent")
 
 
-def average_iou(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Mean best IoU per image between the boxes of two runs (0 for unmatched boxes)."""
-    return best_matches(base, other, ["image_id"], "det_id", "det_id").groupBy("image_id").agg(
+def average_iou(base: DataFrame, other: DataFrame, crowds: DataFrame | None = None) -> DataFrame:
+    """Mean best IoU per image between the boxes of two runs (0 for unmatched boxes); ``crowds`` as for ``best_matches``."""
+    boxes = base.select("image_id", "det_id", "x1", "y1", "x2", "y2")
+    return best_matches(boxes, other, ["image_id"], "det_id", "det_id", crowds=crowds).groupBy("image_id").agg(
         F.avg("iou").alias("mean_iou"), F.count_if(F.col("match_id").isNull()).alias("unmatched"))

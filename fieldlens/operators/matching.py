@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +51,71 @@ def overlap_pairs(
 
 def best_matches(
     base: DataFrame, cand: DataFrame, on: Sequence[str], base_id: str, cand_id: str, min_iou: float = 0.0,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), crowds: DataFrame | None = None,
 ) -> DataFrame:
     """Every base box with its candidate of highest IoU (lowest ``cand_id`` on ties), IoU 0 when there is none.
 
-    One candidate may serve many base boxes. ``keep`` names candidate columns to carry. The best pair is an aggregate
-    with map-side combine, so a crowded image shuffles one row per base box and task.
+    One candidate may serve many base boxes. ``keep`` names candidate columns to carry. The boxes of a group of equal ``on`` columns are gathered
+    by one aggregate and compared inside that row; groups that may hold more than ``CROWD`` boxes of a side are compared over tiles instead.
+    ``crowds`` may name a cheaper table to count, with at least as many rows of each group as either side.
     """
     on = list(on)
+    own = [c for c in base.columns if c not in on]
+    double = [F.col(c).cast("double").alias(f"_{c}") for c in _BOX]
+    of_base = F.struct(*own).alias("p")
+    of_cand = F.struct(F.col(cand_id).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], *double).alias("t")
+    kinds = {**dict(base.select(of_base).dtypes), **dict(cand.select(of_cand).dtypes)}
+    empty = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    both = base.select(*on, of_base, empty("t")).unionByName(cand.select(*on, empty("p"), of_cand))
+    types = dict(both.dtypes)
+    same = lambda d: d.withColumns({c: F.col(c).cast(types[c]) for c in on})
+    base, cand = same(base), same(cand)
+    counted = [same(crowds.select(on))] if crowds is not None else [base.select(on), cand.select(on)]
+    many = reduce(Column.__or__, [crowd_test(d, on, CROWD) for d in counted])
+    grouped = both.filter(~many).groupBy(*on).agg(F.collect_list("p").alias("p"), F.collect_list("t").alias("t")).filter(F.size("p") > 0)
+    of = {**{f"p_{c}": F.col(f"p.{c}") for c in own},
+          **{f"t_{c}": F.col(f"t.{c}") for c in ("_id", *[f"_keep_{c}" for c in keep], *[f"_{c}" for c in _BOX])}}
+    flat = grouped.select(*on, *[v.alias(k) for k, v in of.items()])
+    names = ["match_id", "iou", *[f"match_{c}" for c in keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                owner, chosen, overlap = _best_batch(batch, min_iou, [f"t__keep_{c}" for c in keep])
+                take = lambda c: batch.column(c).flatten().take(chosen)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(owner) for c in on], *[batch.column(f"p_{c}").flatten() for c in own], take("t__id"), overlap,
+                     *[take(f"t__keep_{c}") for c in keep]], names=[*on, *own, *names])
+
+    of_own, of_keep = dict(base.dtypes), dict(cand.dtypes)
+    columns = [(c, types[c]) for c in on] + [(c, of_own[c]) for c in own]
+    columns += [("match_id", of_keep[cand_id]), ("iou", "double"), *[(f"match_{c}", of_keep[c]) for c in keep]]
+    ordinary = flat.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in columns)).select(*base.columns, *names)
+    return ordinary.unionByName(_tiled_best(base.filter(many), cand.filter(many), on, base_id, cand_id, min_iou, keep))
+
+
+def _best_batch(batch: pa.RecordBatch, min_iou: float, keep: Sequence[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(row, place of the best candidate or null, its IoU or 0) of every base box of rows that hold the boxes of one group each."""
+    sizes = lambda c: np.diff(batch.column(c).offsets.to_numpy())
+    p_sizes, t_sizes = sizes("p_x1"), sizes("t__x1")
+    p, t = _side(batch, "p_"), _side(batch, "t__")
+    t["crowd"] = np.zeros(len(t["area"]), bool)
+    i, j, overlap = _overlaps(p, t, p_sizes, t_sizes, min_iou)
+    above = overlap > min_iou
+    i, j, overlap = i[above], j[above], overlap[above]
+    last_first = [pc.rank(batch.column(c).flatten(), "descending", null_placement="at_end", tiebreaker="min").to_numpy()[j] for c in reversed(keep)]
+    by_id = pc.rank(batch.column("t__id").flatten(), "ascending", null_placement="at_end", tiebreaker="min").to_numpy()[j]
+    order = np.lexsort((*last_first, by_id, -overlap, i))
+    i, j, overlap = i[order], j[order], overlap[order]
+    heads = np.flatnonzero(np.diff(i, prepend=-1))
+    chosen, best = np.full(len(p["area"]), -1), np.zeros(len(p["area"]))
+    chosen[i[heads]], best[i[heads]] = j[heads], overlap[heads]
+    return pa.array(np.repeat(np.arange(batch.num_rows), p_sizes)), pa.array(chosen, mask=chosen < 0), pa.array(best)
+
+
+def _tiled_best(base: DataFrame, cand: DataFrame, on: list[str], base_id: str, cand_id: str, min_iou: float, keep: Sequence[str]) -> DataFrame:
+    """``best_matches`` by a join over tiles. The best pair is an aggregate with map-side combine, so a crowded image shuffles one row per
+    base box and task."""
     cand = cand.select(*on, cand_id, *_BOX, *keep)
     pairs = overlap_pairs(base.select(*on, base_id, *_BOX), cand, on, min_iou)
     carried = [F.col(f"{c}_b").alias(c) for c in keep]
@@ -70,9 +128,9 @@ def best_matches(
     )
 
 
-def accepted_matches(pred: DataFrame, truth: DataFrame, on, pred_id: str, truth_id: str, min_iou: float = 0.1, keep=()):
+def accepted_matches(pred: DataFrame, truth: DataFrame, on, pred_id: str, truth_id: str, min_iou: float = 0.1, keep=(), crowds=None):
     """(matched, unmatched) predictions: accepted when the best IoU is above ``min_iou``."""
-    scored = best_matches(pred, truth, on, pred_id, truth_id, min_iou, keep)
+    scored = best_matches(pred, truth, on, pred_id, truth_id, min_iou, keep, crowds)
     return scored.filter(F.col("match_id").isNotNull()), scored.filter(F.col("match_id").isNull()).select(*pred.columns)
 
 
@@ -164,6 +222,14 @@ def _with_crowd(truths: DataFrame) -> DataFrame:
 _PAIRS = 1_000_000  # pairs of boxes compared at a time
 
 
+def _side(batch: pa.RecordBatch, prefix: str) -> dict[str, np.ndarray]:
+    """Corners of the boxes of one side of all rows, whether they are in order, and areas."""
+    d = {c: batch.column(f"{prefix}{c}").flatten().to_numpy(zero_copy_only=False).astype(float) for c in _BOX}
+    d["proper"] = (d["x2"] >= d["x1"]) & (d["y2"] >= d["y1"])
+    d["area"] = (d["x2"] - d["x1"]) * (d["y2"] - d["y1"])
+    return d
+
+
 def _overlaps(p: dict, t: dict, p_sizes: np.ndarray, t_sizes: np.ndarray, lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prediction, truth, overlap) of the pairs of each problem with overlap at or above ``lowest``; numbers are places in the batch."""
     p_ends, t_starts = np.cumsum(p_sizes), np.cumsum(t_sizes) - t_sizes
@@ -195,13 +261,7 @@ def _greedy_batch(batch: pa.RecordBatch, thresholds: Sequence[float], ranges: Se
     sizes = lambda c: np.diff(batch.column(c).offsets.to_numpy())
     p_sizes, t_sizes = sizes("p_det_rank"), sizes("t_gt_id")
 
-    def side(prefix: str) -> dict:
-        d = {c: batch.column(f"{prefix}_{c}").flatten().to_numpy(zero_copy_only=False).astype(float) for c in _BOX}
-        d["proper"] = (d["x2"] >= d["x1"]) & (d["y2"] >= d["y1"])
-        d["area"] = (d["x2"] - d["x1"]) * (d["y2"] - d["y1"])
-        return d
-
-    p, t = side("p"), side("t")
+    p, t = _side(batch, "p_"), _side(batch, "t_")
     rank = batch.column("p_det_rank").flatten().to_numpy(zero_copy_only=False)
     t["crowd"] = batch.column("t_crowd").flatten().fill_null(0).to_numpy(zero_copy_only=False) == 1
     gt = batch.column("t_gt_id").flatten().fill_null(0).to_numpy(zero_copy_only=False)

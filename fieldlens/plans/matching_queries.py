@@ -11,6 +11,8 @@ from fieldlens.operators.selection import class_name
 from fieldlens.plans.registry import query, r6
 from fieldlens.plans.tables import Tables
 
+_ONE = ["image_id", "det_id", *Box._fields]
+
 _IOU = """case when least(a.x2,b.x2)<greatest(a.x1,b.x1) or least(a.y2,b.y2)<greatest(a.y1,b.y1) then 0 else
   (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1)) /
   ((a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)-(least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1))) end"""
@@ -42,7 +44,7 @@ _BEST = f"""(select image_id, det_id, class_id, match_id, match_class, coalesce(
 
 @query("J-04", f"select image_id, det_id, match_id, {r6('iou')} as iou from {_BEST}")
 def best_match_per_detection(t: Tables) -> DataFrame:
-    m = M.best_matches(t.detections, t.candidate, ["image_id"], "det_id", "det_id")
+    m = M.best_matches(t.detections.select(_ONE), t.candidate, ["image_id"], "det_id", "det_id", crowds=t.boxes)
     return m.select("image_id", "det_id", "match_id", (F.round("iou", 6) + F.lit(0.0)).alias("iou"))
 
 
@@ -54,13 +56,13 @@ _PRED = f"""(select image_id, det_id, class_id, match_id, match_class, iou from
 
 @query("J-05", f"select image_id, det_id, match_id, {r6('iou')} as iou from {_PRED} where match_id is not null")
 def accepted_predictions(t: Tables) -> DataFrame:
-    matched, _ = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1)
+    matched, _ = M.accepted_matches(t.candidate.select(_ONE), t.detections, ["image_id"], "det_id", "det_id", 0.1, crowds=t.boxes)
     return matched.select("image_id", "det_id", "match_id", (F.round("iou", 6) + F.lit(0.0)).alias("iou"))
 
 
 @query("J-05", f"select image_id, det_id from {_PRED} where match_id is null")
 def unmatched_predictions(t: Tables) -> DataFrame:
-    _, unmatched = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1)
+    _, unmatched = M.accepted_matches(t.candidate.select(_ONE), t.detections, ["image_id"], "det_id", "det_id", 0.1, crowds=t.boxes)
     return unmatched.select("image_id", "det_id")
 
 
@@ -70,7 +72,7 @@ with votes as (select class_id, match_class, count(*) as n from (
 s as (select *, sum(n) over (partition by class_id) as total, row_number() over (partition by class_id order by n desc, match_class) as rk from votes)
 select class_id, match_class, cast(n as bigint) as n, {r6('100.0*n/total')} as percent from s where rk = 1""")
 def class_mapping_vote(t: Tables) -> DataFrame:
-    matched, _ = M.accepted_matches(t.candidate, t.detections, ["image_id"], "det_id", "det_id", 0.1, keep=("class_id",))
+    matched, _ = M.accepted_matches(t.candidate.select(*_ONE, "class_id"), t.detections, ["image_id"], "det_id", "det_id", 0.1, keep=("class_id",), crowds=t.boxes)
     best = matched.groupBy("image_id", "class_id").agg(
         F.max(F.struct("iou", (-F.col("det_id")).alias("neg"), F.col("match_class_id").alias("cls"))).alias("b"))
     votes = best.groupBy("class_id", F.col("b.cls").alias("match_class")).agg(F.count(F.lit(1)).alias("n"))

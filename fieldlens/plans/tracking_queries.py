@@ -79,7 +79,7 @@ def size_report(t: Tables) -> DataFrame:
 
 @query("D-07 J-04", f"select image_id, {r6('avg(iou)')} as mean_iou, count(*) filter (match_id is null) as unmatched from {_BEST} group by 1")
 def run_average_iou(t: Tables) -> DataFrame:
-    return _rounded(M.average_iou(t.detections, t.candidate), "mean_iou")
+    return _rounded(M.average_iou(t.detections, t.candidate, t.boxes), "mean_iou")
 
 
 @query("D-07 A-12 A-13 A-15 A-16", f"""

@@ -195,3 +195,20 @@ def test_match_bits_inside_rows_and_over_tiles(spark, monkeypatch, limit):
             for i, thr in enumerate(thresholds):
                 for d, flags in greedy(ps, ts, thr, area).items():
                     assert tuple(x >> (k * 2 + i) & 1 for x in got[d]) == flags
+
+
+@pytest.mark.parametrize("limit", [4096, 10])
+def test_best_matches_inside_rows_and_over_tiles(spark, monkeypatch, limit):
+    rng = np.random.default_rng(21)
+    a, b = boxes(rng, 90, span=150, big=120), boxes(rng, 80, span=150, big=120)
+    monkeypatch.setattr(M, "CROWD", limit)
+    out = M.best_matches(spark.createDataFrame(a), spark.createDataFrame(b), ["image_id"], "det_id", "det_id", 0.1, keep=("class_id",))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    got = {r.det_id: r for r in out.collect()}
+    assert len(got) == len(a)
+    for p in a.itertuples():
+        near = [(-iou(p, q), q.det_id, q.class_id) for q in b.itertuples() if q.image_id == p.image_id and iou(p, q) > 0.1]
+        v, d, c = min(near) if near else (0.0, None, None)
+        r = got[p.det_id]
+        assert (r.match_id, r.match_class_id, r.confidence) == (d, c, p.confidence) and abs(r.iou + v) < 1e-12
