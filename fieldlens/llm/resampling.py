@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.store import documents, written
-from fieldlens.operators.running import row_numbers, split_slices
 
 BUCKETS = 10_000
 SEED = 2024
@@ -132,6 +131,24 @@ def kth_key(df: DataFrame, key: list[str], k: int, pivots: int = PIVOTS, seed: i
             low, below = p, before + n + same
 
 
+def numbered(df: DataFrame, key: list[str], out: str) -> DataFrame:
+    """``df`` with 1-based row numbers in the order of ``key``, written once.
+
+    Rows are ranged by key and row, so that fully equal keys are split over tasks as well, and sorted in their range; a row's number is its place there
+    after the rows of earlier ranges. Of each range only its count reaches the driver. The plan stays small whatever the partition setting is.
+    """
+    order = [*key, "__row"]
+    ranged = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(ranged.select(*df.columns, F.spark_partition_id().alias("__range"), place.alias("__place")), "numbered")
+    before, total = [], 0
+    for of, n in sorted(held.groupBy("__range").agg(F.count("*").alias("n")).collect()):
+        before.append((of, total + 1))
+        total += n
+    first = df.sparkSession.createDataFrame(before, "__range int, __first bigint")
+    return held.join(F.broadcast(first), "__range").select(*df.columns, (F.col("__first") + F.col("__place")).alias(out))
+
+
 def resampled(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = 1, percent: int = PERCENT, least_words: int = LEAST_WORDS,
               seed: int = SEED) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every row of ``docs``; rank numbers the drawn rows from 1, best first, and is null for others.
@@ -154,8 +171,7 @@ def resampled(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longes
     key = ["down", "unnamed", "place", "tie"]
     last = kth_key(scored.where(able), key, k)
     won = able & (F.struct(*key) <= F.struct(*[F.lit(v).cast(scored.schema[c].dataType).alias(c) for c, v in zip(key, last)]))
-    sliced, slices = split_slices(scored.where(won), "down", "place")
-    ranked = row_numbers(sliced, [], slices, [F.col(c) for c in key], "rank")
+    ranked = numbered(scored.where(won).select(*result, *key), key, "rank")
     ranked = ranked.select(*result, F.when(F.col("rank") <= k, F.col("rank")).alias("rank"))
     return ranked.unionByName(scored.where(~won).select(*result, F.lit(None).cast("long").alias("rank")))
 
