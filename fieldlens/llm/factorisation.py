@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.llm.store import drop, written
+
 #: Featuriser: (text, metadata value) -> (slots int64, values float32), each slot once.
 Featurise = Callable[[str, float | None], tuple[np.ndarray, np.ndarray]]
 
@@ -55,17 +57,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
     m = Machine(float(np.log(prior / (1 - prior))), np.zeros(size, "f4"), np.zeros((size, rank), "f4"))
     if len(set(y)) < 2:
         return m
-    seen = np.bincount(np.concatenate([r[0] for r in rows]), minlength=size)
-    ones = np.bincount(np.concatenate([r[0] for r in rows if r[2]]), minlength=size)
+    seen, ones = np.zeros(size, "i8"), np.zeros(size, "i8")
+    for slots, _, label in rows:
+        seen[slots] += 1  # a row has each slot once
+        if label:
+            ones[slots] += 1
     share, all_share = np.clip(ones / np.maximum(seen, 1), 1e-9, 1 - 1e-9), y.mean()
     told = seen * (share * np.log(share / all_share) + (1 - share) * np.log((1 - share) / (1 - all_share)))
     used = np.flatnonzero((seen >= least_rows) & (told >= evidence))
-    compact = np.full(size, -1, "i8")
+    compact = np.full(size, -1, "i4")
     compact[used] = np.arange(len(used))
     data = []
     for slots, values, _ in rows:
         ok = compact[slots] >= 0
-        data.append((compact[slots[ok]], values[ok].astype("f8")))
+        data.append((compact[slots[ok]], values[ok]))
     w, v = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), rank))
     gw, gv, gb, b = np.full(len(used), 1e-2), np.full((len(used), rank), 1e-2), 1e-2, m.bias
     for _ in range(epochs):
@@ -75,7 +80,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
             if not picked:
                 continue
             slots = np.concatenate([data[i][0] for i in picked])
-            x = np.concatenate([data[i][1] for i in picked])
+            x = np.concatenate([data[i][1] for i in picked]).astype("f8")
             sizes = np.array([len(data[i][0]) for i in picked])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             row = np.repeat(np.arange(len(picked)), sizes)
@@ -98,6 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, rank: int = 8
     return m
 
 
+READ_ROWS = 500  # sample rows that the driver reads back at once
 KEPT = 150_000  # words that a worker remembers; workers share the memory beside the heap
 
 
@@ -131,7 +137,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """Features of at most ``bound`` labelled rows, chosen by a hash of the id, alike on every run.
 
     ``bound`` limits the labels before the join, so the broadcast side has a proven size, and the joined rows after it (repeated
-    ids could multiply them). Rows without an id, a label or with a label other than 0 or 1 are not used.
+    ids could multiply them). Rows without an id, a label or with a label other than 0 or 1 are not used. The rows are written to the shared
+    folder and read back some at a time, so that the driver holds them once, as the arrays that ``fit`` takes.
     """
     picked = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
               .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & learn).distinct()
@@ -149,7 +156,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     joined = texts.join(F.broadcast(picked), "id").select("id", "text", "meta", "label")
     rows = joined.mapInArrow(run, "id bigint, label int, slots binary, vals binary").orderBy(F.xxhash64("id"), "id", "label", "slots", "vals").limit(bound)
-    return [(np.frombuffer(r.slots, "<i4").astype("i8"), np.frombuffer(r.vals, "<f4"), r.label) for r in rows.collect()]
+    held = written(rows.withColumn("at", F.monotonically_increasing_id()), "sample", maxRecordsPerFile=READ_ROWS)
+    read = {r["at"]: (np.frombuffer(r.slots, "<i4"), np.frombuffer(r.vals, "<f4"), r.label) for r in held.toLocalIterator()}
+    drop(held)
+    return [read[at] for at in sorted(read)]
 
 
 def score_column(machine: Machine, featurise: Callable[..., Featurise], spark, text: Column, meta: Column) -> Column:
