@@ -45,15 +45,51 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spa
 _PLAIN = re.compile("(?:(?!<[|])[\0-\u012f\u0131-\u024f])*").fullmatch
 
 
+#: Outside of what can be lower-cased and cut at white space at once; the characters 28 to 31 are white space to ``str.split`` only.
+_UNEVEN = re.compile("[^\0-\x1b\x20-\u012f\u0131-\u024f]").search
+_RUN = 1000  # words that the library gets as one text
+
+
 class WordIds(Ids):
-    """Ids of a vocabulary that lower-cases and drops white space: a piece is cut into the vocabulary's words, and each distinct word is encoded once.
+    """Ids of a vocabulary that lower-cases and drops white space: a text is cut into the vocabulary's words, and each distinct word is encoded once.
 
-    Pieces with characters beyond ``_PLAIN`` and those that may hold the string of a special token go to the library whole.
+    Texts with characters beyond ``_PLAIN`` and those that may hold the string of a special token are cut into pieces first; such pieces go to the
+    library whole.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = PieceCache(super()._encode)
+        self.parts, self.words = PieceCache(self._parts), PieceCache(self._words)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cuts = [t.lower().split() if "<|" not in t and not _UNEVEN(t) else None for t in texts]
+        of = self.words.whole(set().union(*(c for c in cuts if c))).__getitem__
+        others = iter(super().encode([t for t, c in zip(texts, cuts) if c is None]))
+        return [next(others) if c is None else b"".join(map(of, c)) for c in cuts]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Encodings of plain words between white space."""
+        keys = [w if w.isalpha() else _WORDS(w) for w in words]
+        of = self.parts.whole({k for k in keys if type(k) is str}.union(*(k for k in keys if type(k) is list)))
+        return [of[k] if type(k) is str else b"".join([of[w] for w in k]) for k in keys]
+
+    def _parts(self, words: list[str]):
+        """Encodings by the library: a thousand plain words of letters as one text, whose ids are cut behind each that ends a word."""
+        letters = [w for w in words if w.isalpha() and not _UNEVEN(w)]
+        found = {}
+        for at in range(0, len(letters), _RUN):
+            run = letters[at:at + _RUN]
+            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            content = ids.tobytes()
+            if len(stops) == len(run) and stops[-1] == len(content):
+                found.update(zip(run, [content[i:j] for i, j in zip([0, *stops], stops)]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, super()._encode(rest)))
+        return map(found.__getitem__, words)
 
     def _encode(self, pieces: list[str]):
         keys: list = [p.lstrip(" ") for p in pieces]
@@ -68,7 +104,7 @@ class WordIds(Ids):
                     continue
             single.add(p)
         single.update(*(keys[i] for i in several))
-        of = self.words.whole(single)
+        of = self.parts.whole(single)
         for i in several:
             keys[i] = of[keys[i][0]] if len(keys[i]) == 1 else b"".join([of[w] for w in keys[i]])
         return [k if type(k) is bytes else of[k] for k in keys]
