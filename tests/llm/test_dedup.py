@@ -1,11 +1,12 @@
 """Near-duplicates and lines against brute force, with groups of copies, edge cases and hot groups."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.llm import components, lines, minhash
+from fieldlens.llm import components, lines, minhash, store
 from fieldlens.llm.lines import dedup_lines, line_decisions
 from fieldlens.llm.minhash import Shingler, near_duplicates
 from fieldlens.session import ship_package
@@ -221,3 +222,28 @@ def test_bounds_hold_for_every_linked_pair(spark):
             assert differing(r.bits, q.bits) <= d and differing(r.wide, q.wide) <= d
             assert sum(x != y for x, y in zip(nibbles(r.sketch), nibbles(q.sketch))) <= d
     assert len(rows) > 20
+
+
+@pytest.mark.parametrize("long", [64, 3])
+def test_spent_tables_go_and_passes_lose_no_link(spark, monkeypatch, long):
+    """Lists of three families are compared pair by pair or in blocks of several passes; of all written tables only links and components are left."""
+    monkeypatch.setattr(components, "LONG", long)
+    made = []
+
+    def kept(df, name, **options):
+        made.append((name, store.written(df, name, **options)))
+        return made[-1][1]
+
+    for module in (components, lines):
+        monkeypatch.setattr(module, "written", kept)
+    rng = random.Random(23)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    heads = [own(112) for _ in range(3)]
+    texts = [h + own(16) for h in heads for _ in range(12)]
+    texts += [t[:-6] + own(6) for t in texts[::5]]
+    got = line_decisions(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sets = [{t[k:k + 5] for k in range(len(t) - 4)} for t in texts]
+    want = _components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.first_doc_id for r in got} == want
+    there = {name for name, df in made if os.path.exists(df._fieldlens_path.removeprefix("file:"))}
+    assert there <= {"links", "components", "near", "blocks", "dense", "leads"} and "signs" in {name for name, _ in made}
