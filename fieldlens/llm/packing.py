@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 
 import numpy as np
@@ -19,13 +20,18 @@ from fieldlens.llm.store import documents
 VOCABULARY = "byte_bpe_50k.json"
 _SLOTS = 36  # bits of a sequence's number inside its task and bucket; 4 bits of bucket stand above, then the task
 _ROWS = 4096
+#: Behind letters, the vocabulary's pattern never joins these to them.
+_MARKS = ".,;:!?)\"\n\r#$%&*"
+#: A later version of Unicode may know more letters than the library does.
+_LATE = re.compile("[^\0-\u024f]").search
+_RUN = 100  # words that the library gets as one text
 _ID_BYTES = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, bucket int, sequence_id bigint, offset bigint"
 
 
 class Ids:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; the library encodes each distinct piece once per worker.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; the library encodes each distinct piece once per worker, words of letters many as one text.
 
     Strings of special tokens inside texts get the ids that the library gives them by default; none is added.
     """
@@ -35,9 +41,32 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = PieceCache(self._encode)
+        self.cache, self.heads, self.rests = PieceCache(self._encode), PieceCache(self._runs), PieceCache(self._single)
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _encode(self, pieces: list[str]):
+        """Encodings of pieces: a space and letters apart from marks behind them, so that a word is encoded once whichever they are."""
+        heads = [p.rstrip(_MARKS) for p in pieces]
+        plain = [p[:1] == " " and h[1:].isalpha() and not _LATE(h) for p, h in zip(pieces, heads)]
+        of = self.heads.whole({h for h, ok in zip(heads, plain) if ok})
+        rest = self.rests.whole({p[len(h):] if ok else p for p, h, ok in zip(pieces, heads, plain)})
+        return [rest[p] if not ok else of[h] if len(h) == len(p) else of[h] + rest[p[len(h):]] for p, h, ok in zip(pieces, heads, plain)]
+
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Encodings of words of a space and letters: a run of them as one text, whose ids are cut before each that begins with a space."""
+        found = []
+        runs = [words[at:at + _RUN] for at in range(0, len(words), _RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            content = ids.tobytes()
+            one = len(cuts) == len(run) and cuts[0] == 0
+            found += [content[i:j] for i, j in zip(cuts, [*cuts[1:], len(content)])] if one else self._single(run)
+        return found
+
+    def _single(self, pieces: list[str]):
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             ids = e.ids
             yield _ID_BYTES[len(ids)](*ids) if len(ids) < 32 else np.array(ids, dtype="<u4").tobytes()

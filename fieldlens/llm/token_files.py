@@ -88,7 +88,7 @@ class WordIds(Ids):
             if len(stops) == len(run) and stops[-1] == len(content):
                 found.update(zip(run, [content[i:j] for i, j in zip([0, *stops], stops)]))
         rest = [w for w in words if w not in found]
-        found.update(zip(rest, super()._encode(rest)))
+        found.update(zip(rest, self._single(rest)))
         return map(found.__getitem__, words)
 
     def _encode(self, pieces: list[str]):

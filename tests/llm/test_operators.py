@@ -290,3 +290,21 @@ def test_word_ids_encode_runs_of_words(spark):
                                          "encode_batch_fast": lambda self, some, **b: calls.extend(some) or own.encode_batch_fast(some, **b)})()
     new = " ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(5000))
     assert ids.encode([new])[0] == np.array(library.encode(new, add_special_tokens=False).ids, "<u4").tobytes() and len(calls) <= 6
+
+
+def test_packing_encodes_words_once_whatever_marks_follow():
+    """Marks, line feeds and odd letters behind words: ids equal the library's; most words reach it in runs and not as pieces of their own."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    ids = packing.Ids(path)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeABCé") for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["don't", "x1", "12", "ŉa", "ɐɑ", "中文", "<|endoftext|>", "a<|endoftext|>.", "Ƛ", "i̇"]
+    ends = ["", "", ",", ".", "...", ".\n", "\n", "\n\n", ".\r\n", "\t", "?!", "\"", "'s", " ", ".\n\n", " "]
+    texts = ["".join(rng.choice(words) + rng.choice(ends) + rng.choice([" ", " ", " ", "", "\n"]) for _ in range(200)) for _ in range(80)]
+    single, seen = ids._single, []
+    ids._single = ids.rests.encode = lambda pieces: seen.extend(pieces) or single(pieces)
+    want = [np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert ids.encode(texts) == want
+    simple = " ".join(w + e for w in words[:300] for e in (",", ".", "?!", "..."))
+    seen.clear()
+    assert ids.encode([simple]) == [np.array(ids.tokenizer.encode(simple, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+    assert len(seen) < 20
