@@ -80,9 +80,9 @@ class WordIds(Ids):
         """Encodings by the library: a thousand plain words of letters as one text, whose ids are cut behind each that ends a word."""
         letters = [w for w in words if w.isalpha() and not _UNEVEN(w)]
         found = {}
-        for at in range(0, len(letters), _RUN):
-            run = letters[at:at + _RUN]
-            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
+        runs = [letters[at:at + _RUN] for at in range(0, len(letters), _RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(list(map(" ".join, runs)), add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             content = ids.tobytes()
             if len(stops) == len(run) and stops[-1] == len(content):
