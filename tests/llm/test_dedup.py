@@ -247,3 +247,23 @@ def test_spent_tables_go_and_passes_lose_no_link(spark, monkeypatch, long):
     assert {r.doc_id: r.first_doc_id for r in got} == want
     there = {name for name, df in made if os.path.exists(df._fieldlens_path.removeprefix("file:"))}
     assert there <= {"links", "components", "near", "blocks", "dense", "leads"} and "signs" in {name for name, _ in made}
+
+
+def test_unlike_lines_of_common_words_seldom_meet(spark, monkeypatch):
+    """3,000 lines of 45 words out of 150: many common shingles, but no links; pairs of them must not grow with the square of the lines."""
+    met = []
+
+    def kept(df, name, **options):
+        out = store.written(df, name, **options)
+        if name == "pairs":
+            met.append(out.count())
+        return out
+
+    for module in (components, lines):
+        monkeypatch.setattr(module, "written", kept)
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(45))) for i in range(3000)]
+    got = line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 3000 and all(r.kept for r in got)
+    assert sum(met) < 1000
